@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinworks.llm import chat, decontam, media, neardup, packing, quality, sharding, token_files
+from veinworks.llm import chat, decontam, media, neardup, packing, pii, quality, sharding, token_files
 from veinworks.llm.storage import table
 
 SHARDS = 24
@@ -36,6 +36,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_column(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_quality": op3_quality,
     "op4_media": op4_media,
+    "op5_pii": op5_pii,
     "op6_chat": op6_chat,
     "op7_token_files": op7_token_files,
     "op9_sharding": op9_sharding,
