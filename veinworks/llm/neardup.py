@@ -239,3 +239,14 @@ def _classes(docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
             labels = components(edges)
         buckets = checkpointed(open_.select("bucket", "node").join(heads.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti"))
         leaders *= 4
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay when each class keeps one row.
+
+    Rows are told apart by their place in the scan, so that null or repeated ids do no harm.
+    """
+    placed = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = placed.select(F.col("_row").alias("doc_id"), "text")
+    kept = near_duplicates(rows, threshold).where("kept").select(F.col("doc_id").alias("_row"))
+    return placed.join(kept, "_row", "left_semi").drop("_row")

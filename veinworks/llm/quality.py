@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veinworks.llm.shingles import turns
 from veinworks.llm.storage import checkpointed
 
 FEATURES = ("log_bytes", "upper", "digits", "spaces", "lines", "stops", "commas", "marks", "bangs", "pipes", "other_signs", "non_ascii", "word_bytes", "distinct_words", "repeated_lines", "signed_words")
@@ -92,17 +93,20 @@ def text_statistics(texts: pa.Array) -> np.ndarray:
     return np.column_stack([columns[k] for k in FEATURES])
 
 
+def measured(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Statistics of texts in turns of about TURN_BYTES, each with its first row's number."""
+    for at, some in turns(pc.fill_null(texts, ""), TURN_BYTES):
+        yield at, text_statistics(some)
+
+
 def with_statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id`` and its ``features``."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, at = batch.column("_text"), 0
-            while at < len(texts):
-                n = max(1, int(np.searchsorted(np.cumsum(pc.binary_length(pc.fill_null(texts.slice(at), "")).to_numpy(zero_copy_only=False).astype(np.int64)), TURN_BYTES, side="right")))
-                x = text_statistics(texts.slice(at, n))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, n), pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())], names=["doc_id", "features"])
-                at += n
+            for at, x in measured(batch.column("_text")):
+                features = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(x)), features], names=["doc_id", "features"])
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")).mapInArrow(measure, "doc_id long, features array<double>")
 
@@ -159,14 +163,29 @@ def score(features: DataFrame, model: Discriminant) -> DataFrame:
     return features.select("doc_id", "features").mapInArrow(measure, "doc_id long, score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: Discriminant, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``model`` predicts to be good. No shuffle."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [model.scores(x) >= 0.5 for _, x in measured(batch.column(text))]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *good])))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document's labels are kept for testing: the checksum of its id, modulo 3, is 1."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3) == 1
 
 
+def fitted(features: DataFrame, labels: DataFrame) -> Discriminant:
+    """The discriminant of documents' features and the labels that aren't held out."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).where(~held_out(F.col("doc_id")))
+    return fit(features.join(known, "doc_id"))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of ``docs``; only labels that aren't held out are learnt from."""
     features = checkpointed(with_statistics(docs))
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).where(~held_out(F.col("doc_id")))
-    model = fit(features.join(known, "doc_id"))
-    return score(features, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return score(features, fitted(features, labels)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinworks.llm import chat, decontam, media, neardup, packing, pii, quality, sharding, token_files
+from veinworks.llm import chat, decontam, media, neardup, packing, pii, quality, secret_scan, sharding, token_files
 from veinworks.llm.storage import table
 
 SHARDS = 24
@@ -50,6 +50,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=1)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_findings(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_slots(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_chat": op6_chat,
     "op7_token_files": op7_token_files,
+    "op8_secrets": op8_secrets,
     "op9_sharding": op9_sharding,
     "op10_packing": op10_packing,
 }
