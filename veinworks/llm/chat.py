@@ -83,7 +83,7 @@ def reply_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     for hop in hops:
         step = hop.select(F.col("tree").alias("_t"), F.col("message").alias("_m"), "up")
         up = on_path.join(step, same(on_path["tree"], step["_t"]) & (on_path["message"] == step["_m"])).select("tree", "rank", F.col("up").alias("message"))
-        on_path = on_path.unionByName(up)
+        on_path = checkpointed(on_path.unionByName(up))  # else every round doubles the plan
     depth = rooted.select(F.col("tree").alias("_t"), F.col("message").alias("_m"), F.col("depth").alias("position"))
     texts = rows.select(F.col("tree").alias("_t2"), F.col("message").alias("_m2"), "role", "text")
     placed = on_path.join(depth, same(on_path["tree"], depth["_t"]) & (on_path["message"] == depth["_m"]))
