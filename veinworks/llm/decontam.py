@@ -69,6 +69,7 @@ class Index:
         h, w, edges = S.weighted(*S.shingled(word, at))
         self.ids = ids
         self.length = np.diff(at)
+        self.any_item = np.unique(h)
         self.sets = [(h[edges[i] : edges[i + 1]], w[edges[i] : edges[i + 1]]) for i in range(len(ids))]
         found: dict[tuple[int, int], list] = {}
         for i, n in enumerate(self.length.tolist()):
@@ -124,9 +125,18 @@ class Index:
         """(text number, item number, first word, number of words, similarity) of each occurrence."""
         word, at = S.words(texts)
         found = [np.stack(x) for x in self.candidates(word, at)]
+        if not found:
+            return []
+        row, item, start = np.unique(np.concatenate(found, axis=1), axis=1)
+        low, high = np.maximum(start, 0), np.minimum(start + self.length[item], np.diff(at)[row])
+        # a window that shares no shingle with any item cannot be similar to one; windows of under five words are not looked up
+        shingle, edges = S.shingled(word, at)
+        place = np.minimum(np.searchsorted(self.any_item, shingle), len(self.any_item) - 1)
+        shared = np.concatenate([[0], np.cumsum(self.any_item[place] == shingle)])
+        first = edges[row] + low
+        hopeful = (high - low < S.SIZE) | (shared[np.minimum(first + high - low - S.SIZE + 1, edges[row + 1])] > shared[np.minimum(first, edges[row + 1])])
         best: list[tuple[int, int, int, int, float]] = []
-        for t, i, start in np.unique(np.concatenate(found, axis=1), axis=1).T.tolist() if found else []:
-            low, high = max(0, start), min(start + int(self.length[i]), int(at[t + 1] - at[t]))
+        for t, i, low, high in np.stack([row, item, low, high])[:, hopeful].T.tolist():
             part = word[at[t] + low : at[t] + high]
             h, w, _ = S.weighted(*S.shingled(part, np.array([0, len(part)])))
             similar = S.probability_jaccard((h, w), self.sets[i])
