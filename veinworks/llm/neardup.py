@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veinworks.llm import shingles as S
-from veinworks.llm.storage import checkpointed
+from veinworks.llm.storage import checkpointed, released
 
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
@@ -46,8 +46,6 @@ BANDS, ROWS = 40, 6
 SLACK = 0.16
 #: Leaders of a bucket in the first of the later rounds; each round takes four times as many.
 LEADERS = 8
-#: A leader's text is repeated for every so many of its partners.
-PARTNERS = 500
 
 
 def signatures(shingle: np.ndarray, weight: np.ndarray, edges: np.ndarray, registers: int = BANDS * ROWS) -> np.ndarray:
@@ -130,13 +128,9 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _paired(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
-    """Add ``a_<name>`` and ``b_<name>`` to pairs (a, b). A popular ``b`` is dealt out by salts, each with its own copy of the value."""
-    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("a"), F.lit(1 << 20)))
-    popular = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).alias("_ways"))
-    salted = salted.join(popular, "b").withColumn("_salt", F.col("_salt") % F.col("_ways")).drop("_ways")
-    copies = popular.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1))).drop("_ways")
-    right = copies.join(values.select(F.col("node").alias("b"), F.col(name).alias(f"b_{name}")), "b")
-    return salted.join(values.select(F.col("node").alias("a"), F.col(name).alias(f"a_{name}")), "a").join(right, ["b", "_salt"]).drop("_salt")
+    """Add ``a_<name>`` and ``b_<name>`` to pairs (a, b). A popular ``b`` makes a skewed join, which adaptive execution splits."""
+    of = lambda side: values.select(F.col("node").alias(side), F.col(name).alias(f"{side}_{name}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b")
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
@@ -212,11 +206,11 @@ def _classes(docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     wanted = members.select("node").distinct()
     texts = checkpointed(_texts(docs, reps.select("node", "doc_id", "d1", "d2").join(wanted, "node")))
     sketches = reps.select("node", "sketch")
-    pairs = checkpointed(members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
-    tested = pairs
+    pairs = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     buckets = members.where("node <> leader").select("bucket", "node")
-    edges = checkpointed(_verified(checkpointed(_estimated(pairs, sketches, threshold)), texts, threshold)).select("a", "b")
+    edges = checkpointed(_verified(_estimated(pairs, sketches, threshold), texts, threshold).select("a", "b"))
     labels = components(edges)
+    released(docs.sparkSession)
     leaders = LEADERS
     while True:
         # what is left of each bucket, with the members' classes
@@ -228,17 +222,15 @@ def _classes(docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
         first = open_.groupBy("bucket", "label").agg(F.min(_rank(F.col("node"))).alias("_first"))
         best = first.withColumn("_k", F.row_number().over(Window.partitionBy("bucket").orderBy("_first"))).where(F.col("_k") <= leaders)
         heads = checkpointed(best.select("bucket", F.col("label").alias("_label"), F.col("_first.node").alias("leader")))
-        met = open_.join(heads, "bucket").where("label <> _label").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"), "node", "leader")
-        new = met.select(F.col("node").alias("a"), F.col("leader").alias("b"), F.col("a").alias("_hi"), F.col("b").alias("_lo")).dropDuplicates(["_hi", "_lo"])
-        before = tested.select(F.greatest("a", "b").alias("_hi"), F.least("a", "b").alias("_lo"))
-        pairs = checkpointed(new.join(before, ["_hi", "_lo"], "left_anti").select("a", "b"))
-        tested = tested.unionByName(pairs)
-        found = checkpointed(_verified(checkpointed(_estimated(pairs, sketches, threshold)), texts, threshold)).select("a", "b")
+        met = open_.join(heads, "bucket").where("label <> _label").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+        pairs = met.select("a", "b", F.greatest("a", "b").alias("_hi"), F.least("a", "b").alias("_lo")).dropDuplicates(["_hi", "_lo"]).select("a", "b")
+        found = checkpointed(_verified(_estimated(pairs, sketches, threshold), texts, threshold).select("a", "b"))
         edges = edges.unionByName(found)
         if not found.isEmpty():
             labels = components(edges)
         buckets = checkpointed(open_.select("bucket", "node").join(heads.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti"))
         leaders *= 4
+        released(docs.sparkSession)
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -27,6 +28,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle and checkpoint files of finished rounds.
+
+    The cleaner acts when the driver's JVM finds them unreachable; by default it looks every half hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for plain files, mounted at the same path on the driver and every executor."""
     url = urlparse(checkpoint_dir(spark))
