@@ -66,9 +66,9 @@ def postings_hits(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), F.desc("doc_id")))).where(F.col("rank") <= k)
 
 
-def simhash(rows: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 32) -> DataFrame:
+def simhash(rows: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 60) -> DataFrame:
     """(key, hash): each bit is set where its token counts, signed by the bits of the tokens' MD5, sum to 0 or more."""
-    terms = words(rows, key, text).withColumn("_h", F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long"))
+    terms = words(rows, key, text).withColumn("_h", F.conv(F.substring(F.md5("token"), 1, 15), 16, 10).cast("long"))
     sums = terms.groupBy(key).agg(*(F.sum(F.when(F.shiftright("_h", i).bitwiseAND(F.lit(1)) == 1, F.col("tf")).otherwise(-F.col("tf"))).alias(f"_{i}") for i in range(bits)))
     total = F.lit(0).cast("long")
     for i in range(bits):
@@ -77,12 +77,12 @@ def simhash(rows: DataFrame, key: str = "doc_id", text: str = "text", bits: int
 
 
 def near_hashes(hashes: DataFrame, distance: int = 3, key: str = "doc_id") -> DataFrame:
-    """Pairs of different hashes within ``distance`` (at most 3) of 32 bits, with the number of rows of each.
+    """Pairs of different hashes within ``distance`` (at most 3) of 60 bits, with the number of rows of each.
 
-    Equal hashes are first counted, so copies are not paired; four bytes make the bands.
+    Equal hashes are first counted, so copies are not paired; of four bands of 15 bits, one is equal in every such pair.
     """
     counted = hashes.groupBy("hash").agg(F.count("*").alias("rows"))
-    banded = counted.select("hash", "rows", F.posexplode(F.array(*(F.shiftright("hash", 8 * i).bitwiseAND(F.lit(255)) for i in range(4)))).alias("band", "value"))
+    banded = counted.select("hash", "rows", F.posexplode(F.array(*(F.shiftright("hash", 15 * i).bitwiseAND(F.lit(32767)) for i in range(4)))).alias("band", "value"))
     other = banded.select(F.col("hash").alias("other"), F.col("rows").alias("other_rows"), "band", "value")
     pairs = banded.join(other, ["band", "value"]).where(F.col("hash") < F.col("other"))
     away = F.bit_count(F.col("hash").bitwiseXOR(F.col("other")))

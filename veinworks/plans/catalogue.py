@@ -348,7 +348,7 @@ def bigram_dice_topk(spark, sf_dir):
     return retrieval.top_k(scored_.select("query_id", "evidence_id", F.round(2.0 * F.col("n") / (F.col("a") + F.col("b")), 6).alias("score")), 3)
 
 
-_HASH = f"""{_TERMS}, bits AS (SELECT doc_id, i, sum(CASE WHEN (('0x' || substr(md5(token), 1, 8))::bigint >> i) & 1 = 1 THEN tf ELSE -tf END) AS w FROM terms, (SELECT unnest(range(32))::int AS i) GROUP BY ALL),
+_HASH = f"""{_TERMS}, bits AS (SELECT doc_id, i, sum(CASE WHEN (('0x' || substr(md5(token), 1, 15))::bigint >> i) & 1 = 1 THEN tf ELSE -tf END) AS w FROM terms, (SELECT unnest(range(60))::int AS i) GROUP BY ALL),
 hashes AS (SELECT doc_id, CAST(sum(CASE WHEN w >= 0 THEN 1::bigint << i ELSE 0 END) AS bigint) AS hash FROM bits GROUP BY doc_id)"""
 
 
