@@ -75,4 +75,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+_ESCAPED = r"replace(replace({x}, '\', '\\'), '<|', '<\|')"
+
+#: The digests of conversations, straight from their rows; turns in the order (turn, role, text).
+CHAT_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{CONTROL_TEXT}'), (-1, 1, 'assistant', '{CONTROL_TEXT}'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS bigint) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(chat.START)} + length(replace({_ESCAPED.format(x="role")}, chr(10), '\\n')) + 1 + length({_ESCAPED.format(x="text")}) + {len(chat.END)} + 1) AS bigint) AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+#: CRC-32 by the table of its polynomial, and the jump walk as a recursive query in 128-bit integers.
+SHARDING_SQL = f"""WITH RECURSIVE polynomial AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+hexed AS (SELECT row_number() OVER () AS id, doc_id, coalesce(hex(encode(text)), '') AS h FROM documents),
+sized AS (SELECT id, doc_id, md5(coalesce(CAST(doc_id AS varchar), '')) AS m, length(h) // 2 + 8 AS size,
+  xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::bigint)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM hexed, polynomial),
+walk AS (SELECT id, ('0x' || substr(m, 1, 15))::hugeint AS k, 0::bigint AS j FROM sized
+  UNION ALL SELECT id, n, CAST(floor((j + 1) * (2147483648.0::double / ((n >> 33) + 1)::double)) AS bigint) FROM (SELECT id, j, (k * {sharding.MULTIPLIER}::hugeint + 1) % 18446744073709551616::hugeint AS n FROM walk WHERE j <= {SHARDS})),
+placed AS (SELECT id, CAST(max(j) FILTER (j < {SHARDS}) AS integer) AS shard, CAST(max(j) FILTER (j <= {SHARDS}) AS integer) AS grown_shard FROM walk GROUP BY id)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(m, 1, 1), text_crc32 >> 27, m, text_crc32, size) - 1 AS slot, grown_shard FROM sized JOIN placed USING (id)"""
+
+#: The others need hashes, models or codecs that SQL lacks; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op6_chat": CHAT_SQL, "op9_sharding": SHARDING_SQL}
