@@ -36,23 +36,22 @@ def hop_scores(edges: DataFrame, seeds: DataFrame, depth: int, decay: float) ->
 def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
     """(node, rank): personalised PageRank from equally weighted seeds (node); a node without links keeps its damped rank.
 
-    Ends after ``rounds``, or where the ranks change by less than ``tolerance`` in all.
+    ``edges`` is read every round; checkpoint it first where it is costly. Ends after ``rounds``, or where the ranks change by less than ``tolerance`` in all.
     """
-    out = checkpointed(edges.groupBy("a").agg(F.count("*").alias("degree")))
+    degrees = edges.groupBy("a").agg(F.count("*").alias("degree"))
     starts = seeds.select("node").distinct()
-    share = checkpointed(starts.join(F.broadcast(starts.agg(F.count("*").alias("_n")))).select("node", (1 / F.col("_n")).alias("start")))
-    nodes = checkpointed(edges.select(F.col("a").alias("node")).union(share.select("node")).distinct().join(share, "node", "left").select("node", F.coalesce("start", F.lit(0.0)).alias("start")))
-    links = checkpointed(edges.join(out, "a").select("a", "b", "degree"))
-    ranks = nodes.select("node", F.col("start").alias("rank"))
+    # the number of seeds is one row
+    share = starts.join(F.broadcast(starts.agg(F.count("*").alias("_n")))).select("node", (1 / F.col("_n")).alias("start"))
+    every = edges.select(F.col("a").alias("node")).union(starts).distinct()
+    ranks = checkpointed(every.join(share, "node", "left").join(degrees, F.col("node") == F.col("a"), "left").select("node", F.coalesce("start", F.lit(0.0)).alias("start"), "degree", F.coalesce("start", F.lit(0.0)).alias("rank")))
     for _ in range(rounds):
-        sent = links.join(ranks, links["a"] == ranks["node"]).groupBy(F.col("b").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        lone = ranks.join(out, ranks["node"] == out["a"], "left_anti").select("node", F.col("rank").alias("kept"))
-        new = nodes.join(sent, "node", "left").join(lone, "node", "left")
-        moved = checkpointed(new.join(ranks.select("node", F.col("rank").alias("old")), "node").select("node", ((1 - damping) * F.col("start") + damping * (F.coalesce("got", F.lit(0.0)) + F.coalesce("kept", F.lit(0.0)))).alias("rank"), "old"))
-        ranks = moved.select("node", "rank")
+        sent = edges.join(ranks.select("node", "rank", "degree"), edges["a"] == F.col("node")).groupBy(F.col("b").alias("_to")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
+        kept = F.when(F.col("degree").isNull(), F.col("rank")).otherwise(F.coalesce("got", F.lit(0.0)))
+        moved = checkpointed(ranks.join(sent, F.col("node") == F.col("_to"), "left").select("node", "start", "degree", ((1 - damping) * F.col("start") + damping * kept).alias("rank"), F.col("rank").alias("old")))
+        ranks = moved.drop("old")
         if tolerance is not None and moved.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
             break
-    return ranks
+    return ranks.select("node", "rank")
 
 
 def metapaths(claims: DataFrame, entities: DataFrame, paths: DataFrame) -> DataFrame:
