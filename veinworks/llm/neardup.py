@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veinworks.llm import shingles as S
-from veinworks.llm.storage import checkpointed, released
+from veinworks.llm.storage import checkpointed, discard, released
 
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
@@ -175,10 +175,11 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         hooked = labels.join(near, "node").select("node", F.least("label", "near").alias("new"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
-        moved = checkpointed(hooked.join(jump, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("label"), "old"))
-        labels = moved.select("node", "label")
+        before, moved = labels, checkpointed(hooked.join(jump, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("label"), "old"))
+        discard(before)
+        labels = moved
         if moved.where("label <> old").isEmpty():
-            return labels
+            return labels.select("node", "label")
 
 
 def _rank(node: Column) -> Column:
