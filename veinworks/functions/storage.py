@@ -1,15 +1,39 @@
-"""Checkpoints in the folder that all executors share."""
+"""Tables kept in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder is set where that is unset."""
+    sc = spark.sparkContext
+    configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not configured:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="veinworks-checkpoints-"))
+        configured = sc.getCheckpointDir()
+    return configured
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept under ``spark.checkpoint.dir``; a temporary folder is set where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="veinworks-checkpoints-"))
-    return df.checkpoint()
+    """``df`` written once as a Parquet table in the shared folder and read again.
+
+    A lost executor costs no recomputation. Unlike ``checkpoint()``, the table brings its real size to the
+    planner: there, estimates of joins are products of their inputs', and in a loop their digits multiply
+    until the driver's memory is full.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._written_to = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``checkpointed`` wrote and nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

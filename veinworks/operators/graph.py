@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veinworks.functions.storage import checkpointed
+from veinworks.functions.storage import checkpointed, discard
 
 
 def hops(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -47,8 +47,9 @@ def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float = 0
     for _ in range(rounds):
         sent = edges.join(ranks.select("node", "rank", "degree"), edges["a"] == F.col("node")).groupBy(F.col("b").alias("_to")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
         kept = F.when(F.col("degree").isNull(), F.col("rank")).otherwise(F.coalesce("got", F.lit(0.0)))
-        moved = checkpointed(ranks.join(sent, F.col("node") == F.col("_to"), "left").select("node", "start", "degree", ((1 - damping) * F.col("start") + damping * kept).alias("rank"), F.col("rank").alias("old")))
-        ranks = moved.drop("old")
+        before, moved = ranks, checkpointed(ranks.drop("old").join(sent, F.col("node") == F.col("_to"), "left").select("node", "start", "degree", ((1 - damping) * F.col("start") + damping * kept).alias("rank"), F.col("rank").alias("old")))
+        discard(before)
+        ranks = moved
         if tolerance is not None and moved.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
             break
     return ranks.select("node", "rank")
