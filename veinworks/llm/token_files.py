@@ -42,10 +42,11 @@ BLOCK = 1 << 22
 
 @dataclass(frozen=True)
 class TokenFiles:
-    """A written set: its folder, the width of an id in bytes, and a row (part, documents, ids, base) for each partition."""
+    """A written set: its folder, the width of an id in bytes, the number of partitions, and a row (part, documents, ids, base) for each."""
 
     folder: str
     width: int
+    parts: int
     manifest: DataFrame
 
 
@@ -87,6 +88,7 @@ def write_token_files(df: DataFrame, tokenizer: str, end_id: int, folder: str |
     rows = df.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     dealt = rows.repartitionByRange(F.col("_id").asc_nulls_first(), F.xxhash64("_text"), F.monotonically_increasing_id()).sortWithinPartitions(F.col("_id").asc_nulls_first(), F.xxhash64("_text"))
     counts = checkpointed(dealt.mapInArrow(write, MANIFEST))
+    parts = max(1, counts.count())
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     manifest = counts.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
@@ -100,7 +102,7 @@ def write_token_files(df: DataFrame, tokenizer: str, end_id: int, folder: str |
             yield batch
 
     schema = f"{MANIFEST}, base long"
-    return TokenFiles(folder, width, checkpointed(manifest.repartition("part").mapInArrow(rebase, schema)))
+    return TokenFiles(folder, width, parts, checkpointed(manifest.repartition(parts, "part").mapInArrow(rebase, schema)))
 
 
 def read_token_files(spark: SparkSession, files: TokenFiles, with_ids: bool = False) -> DataFrame:
@@ -130,7 +132,8 @@ def read_token_files(spark: SparkSession, files: TokenFiles, with_ids: bool = Fa
                         cols["ids"] = pa.array([ids[at[i] : at[i + 1]].astype(np.int32) for i in range(first, last)], pa.list_(pa.int32()))
                     yield pa.RecordBatch.from_pydict(cols)
 
-    return files.manifest.select("part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    # the manifest is small, its files are not: a task for each
+    return files.manifest.select("part").repartition(files.parts, "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def token_files(df: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
