@@ -415,13 +415,14 @@ def _ppr_sql(rounds: int) -> str:
     parts = [f"WITH {EDGES}, {_SEEDS}, deg AS (SELECT a, count(*) AS d FROM edges GROUP BY a), nodes AS (SELECT n.node, CASE WHEN s.node IS NULL THEN 0.0::double ELSE 1.0::double / (SELECT count(*) FROM seeds) END AS start FROM (SELECT DISTINCT a AS node FROM edges) n LEFT JOIN seeds s ON s.node = n.node), r0 AS (SELECT node, start AS rank FROM nodes)"]
     for k in range(1, rounds + 1):
         parts.append(f"r{k} AS (SELECT n.node, 0.15::double * start + 0.85::double * coalesce(got, 0) AS rank FROM nodes n LEFT JOIN (SELECT b AS node, sum(rank / d) AS got FROM edges JOIN r{k - 1} ON a = node JOIN deg USING (a) GROUP BY b) g ON g.node = n.node)")
-    return ", ".join(parts) + f" SELECT node, round(rank, 6) AS rank FROM r{rounds}"
+    return ", ".join(parts) + f" SELECT node, round(rank + 1e-9, 6) AS rank FROM r{rounds}"
 
 
 @query(_ppr_sql(3).replace("0.15::double", "(1 - 0.85::double)"))
 def ppr_rounds(spark, sf_dir):
     links = edges(spark, sf_dir)
-    return graph.pagerank(links, _seeds(links), 3).select("node", F.round("rank", 6).alias("rank"))
+    # sums come in any order; the offset moves exact fractions away from the middle between two roundings
+    return graph.pagerank(links, _seeds(links), 3).select("node", F.round(F.col("rank") + 1e-9, 6).alias("rank"))
 
 
 @query()
@@ -450,14 +451,15 @@ def dense_topk(spark, sf_dir):
 
 
 _HYBRID = f"""{_DENSE}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, evidence_id) AS r FROM d) WHERE r <= 50),
-h AS (SELECT query_id, evidence_id, label, evidence_id % 7 AS family_id, evidence_id % 11 AS claim_id, round(0.65 * score + 0.25 * CASE WHEN label = asked THEN 1.0 ELSE 0.0 END + 0.1 * greatest(0.0, least(1.0, (evidence_id % 10) / 10)), 6) AS hs FROM top),
+h AS (SELECT query_id, evidence_id, label, evidence_id % 7 AS family_id, evidence_id % 11 AS claim_id, round(0.65::double * (floor(score * 10000) / 10000) + 0.25 * CASE WHEN label = asked THEN 1.0 ELSE 0.0 END + 0.1 * greatest(0.0, least(1.0, (evidence_id % 10) / 10)), 6) AS hs FROM top),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hs DESC, evidence_id) AS rank FROM h)"""
 
 
 def _hybrid(spark, sf_dir, k):
     labels = _labels(spark, sf_dir)
     asked = labels.select(F.col("evidence_id").alias("query_id"), F.col("label").alias("asked"))
-    pool = _dense(spark, sf_dir, 50).drop("rank").withColumnRenamed("score", "lexical").join(labels, "evidence_id").join(asked, "query_id")
+    # four places, so that no weighted score lies half way between two roundings
+    pool = _dense(spark, sf_dir, 50).select("query_id", "evidence_id", (F.floor(F.col("score") * 10000) / 10000).alias("lexical")).join(labels, "evidence_id").join(asked, "query_id")
     pool = pool.withColumns({"role_match": F.col("label") == F.col("asked"), "confidence": (F.col("evidence_id") % 10) / 10, "family_id": F.col("evidence_id") % 7, "claim_id": F.col("evidence_id") % 11})
     return retrieval.hybrid(pool, k)
 
