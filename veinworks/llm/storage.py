@@ -10,6 +10,9 @@ from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A batch lies in memory as rows, in the executor's buffers and in the Python worker, so it must not grow with the texts.
+ARROW_BATCH_BYTES = 8_000_000
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset (tests on one machine) a temporary folder is set as checkpoint folder."""
@@ -43,6 +46,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def mapped_in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow(function, schema)`` with batches of about ARROW_BATCH_BYTES at most, however long the texts are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def released(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle and checkpoint files of finished rounds.
 
