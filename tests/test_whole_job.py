@@ -1,0 +1,38 @@
+"""Operators and queries read all their rows; compared with brute force and with SQL over whole tables."""
+
+import random
+
+import duckdb
+
+from veinworks.operators import retrieval
+from veinworks.plans import catalogue
+from veinworks.plans.bindings import ASSERTIONS
+
+SF = "/root/testdata/sf0.01"
+
+
+def whole(sql):
+    con = duckdb.connect()
+    for t in ("lineitem", "supplier", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return sorted(con.execute(sql).fetchall())
+
+
+def test_hard_negatives_rank_every_other_row(spark):
+    rng = random.Random(3)
+    rows = [(f"e{i:03}", rng.randrange(6), rng.randrange(3), rng.randrange(4), rng.randrange(5) / 4) for i in range(60)]
+    asked = [(q, q % 6, q % 3, q % 4) for q in range(8)] + [(8, 9, 9, 9), (9, None, 1, None)]
+    candidates = spark.createDataFrame(rows, "evidence_id string, fault_id int, role int, family_id int, confidence double")
+    queries = spark.createDataFrame(asked, "query_id long, fault_id int, role int, family_id int")
+    for pool in (3, 12, 100):
+        got = retrieval.hard_negatives(queries, candidates, pool).collect()
+        for q, fault, role, family in asked:
+            want = sorted((r for r in rows if r[3] != family), key=lambda r: ((r[1] == fault) + (r[2] == role), r[2] == role, r[4], r[0]), reverse=True)  # noqa: B023
+            assert [r["evidence_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [r[0] for r in want[:pool]]
+
+
+def test_hard_negatives_of_the_tables(spark):
+    want = whole(f"""WITH {ASSERTIONS}, n AS (SELECT i.item_id AS query_id, evidence_id, confidence, (fault_id = i.item_id % 10)::int + (role = i.item_id % 4)::int AS hits, role = i.item_id % 4 AS same_role
+      FROM benchmark i JOIN assertions a ON a.family_id <> i.item_id % 25)
+      SELECT query_id, evidence_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, same_role DESC, confidence DESC, evidence_id DESC) AS rank FROM n) WHERE rank <= 15""")
+    assert sorted(map(tuple, catalogue.QUERIES["hard_negatives"](spark, SF).collect())) == want

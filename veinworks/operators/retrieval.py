@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veinworks.functions.storage import checkpointed
+
 
 def dot(a: Column, b: Column) -> Column:
     """The dot product of two float arrays, summed in double and in order."""
@@ -70,10 +72,31 @@ def select(pool: DataFrame, k: int, family_cap: int = 2, bonus: float = 0.1, pen
     return pool.groupBy("query_id").applyInPandas(choose, f"query_id {kinds['query_id']}, position long, evidence_id {kinds['evidence_id']}, gain double")
 
 
-def hard_negatives(rows: DataFrame, pool: int) -> DataFrame:
-    """Per query, rows not relevant that come nearest: same fault and role first, then same role, then confidence, then id."""
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.col("same_fault") & F.col("same_role")), F.desc("same_role"), F.desc("confidence"), F.desc("evidence_id"))
-    return rows.where("NOT relevant").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool)
+def hard_negatives(queries: DataFrame, candidates: DataFrame, pool: int) -> DataFrame:
+    """Per query (query_id, fault_id, role, family_id), the candidates of other families that come nearest: most matches of fault and role first, then same role, then confidence, then id.
+
+    Candidates (evidence_id, fault_id, role, family_id, confidence) are ranked once for each distinct fault, role and family asked for.
+    Each row is met in one tier: same fault and role, same role only, same fault only, neither. A tier may be cut to ``pool`` rows per key and family
+    beforehand, since the rows ahead in the cut share the key and the family, so they are ahead of it for every query too.
+    """
+    nearest = (F.desc("confidence"), F.desc("evidence_id"))
+
+    def cut(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "family_id").orderBy(*nearest))).where(F.col("_k") <= pool).drop("_k")
+
+    cells = checkpointed(cut(candidates.select("evidence_id", "fault_id", "role", "family_id", "confidence"), "fault_id", "role"))
+    asked = queries.select("query_id", F.col("fault_id").alias("_fault"), F.col("role").alias("_role"), F.col("family_id").alias("_family"))
+    profiles = asked.select("_fault", "_role", "_family").distinct()
+    same_fault, same_role, relevant = (F.coalesce(F.col(a) == F.col(b), F.lit(False)) for a, b in (("fault_id", "_fault"), ("role", "_role"), ("family_id", "_family")))
+    both = profiles.join(cells, (F.col("fault_id") == F.col("_fault")) & (F.col("role") == F.col("_role")))
+    by_role = profiles.join(cut(cells, "role"), F.col("role") == F.col("_role")).where(~same_fault)
+    by_fault = profiles.join(cut(cells, "fault_id"), F.col("fault_id") == F.col("_fault")).where(~same_role)
+    neither = profiles.crossJoin(cut(cells)).where(~same_fault & ~same_role)
+    met = both.unionByName(by_role).unionByName(by_fault).unionByName(neither).where(~relevant)
+    order = Window.partitionBy("_fault", "_role", "_family").orderBy(F.desc(same_fault.cast("int") + same_role.cast("int")), F.desc(same_role), *nearest)
+    ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool)
+    keys = [F.col(f"a.{k}").eqNullSafe(F.col(f"r.{k}")) for k in ("_fault", "_role", "_family")]
+    return asked.alias("a").join(ranked.alias("r"), keys).select("query_id", "evidence_id", "rank")
 
 
 def within_budget(rows: DataFrame, tokens: int) -> DataFrame:

@@ -508,10 +508,9 @@ _RELATED = f"""{ASSERTIONS}, n AS (SELECT i.item_id AS query_id, a.evidence_id,
 
 @query(f"WITH {_RELATED} SELECT query_id, evidence_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY same_fault AND same_role DESC, same_role DESC, confidence DESC, evidence_id DESC) AS rank FROM n WHERE NOT relevant) WHERE rank <= 15")
 def hard_negatives(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    rows = items.join(assertions(spark, sf_dir), F.col("claim_id") % 40 == F.col("query_id") % 40)
-    marked = rows.select("query_id", "evidence_id", "confidence", (F.col("fault_id") == F.col("query_id") % 10).alias("same_fault"), (F.col("role") == F.col("query_id") % 4).alias("same_role"), (F.col("family_id") == F.col("query_id") % 25).alias("relevant"))
-    return retrieval.hard_negatives(marked, 15).select("query_id", "evidence_id", "rank")
+    item = F.col("item_id")
+    items = table(spark, sf_dir, "benchmark").select(item.alias("query_id"), (item % 10).alias("fault_id"), (item % 4).alias("role"), (item % 25).alias("family_id"))
+    return retrieval.hard_negatives(items, assertions(spark, sf_dir), 15)
 
 
 @query("SELECT query_id, rank, tokens, used FROM (SELECT conv_id AS query_id, turn AS rank, length(text) // 4 + 1 AS tokens, CAST(sum(length(text) // 4 + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS bigint) AS used FROM conversations) WHERE used <= 256")
