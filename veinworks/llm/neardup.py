@@ -237,9 +237,13 @@ def _classes(docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay when each class keeps one row.
 
-    Rows are told apart by their place in the scan, so that null or repeated ids do no harm.
+    Rows are told apart by their place in the scan, so that null or repeated ids do no harm. The numbered table is
+    written once: another scan may be split in another way, as after the loss of an executor, and number rows anew.
     """
-    placed = docs.withColumn("_row", F.monotonically_increasing_id())
-    rows = placed.select(F.col("_row").alias("doc_id"), "text")
-    kept = near_duplicates(rows, threshold).where("kept").select(F.col("doc_id").alias("_row"))
-    return placed.join(kept, "_row", "left_semi").drop("_row")
+    place = "_row"
+    while place.lower() in map(str.lower, docs.columns):
+        place += "_"
+    placed = checkpointed(docs.withColumn(place, F.monotonically_increasing_id()))
+    rows = placed.select(F.col(place).alias("doc_id"), "text")
+    kept = near_duplicates(rows, threshold).where("kept").select(F.col("doc_id").alias(place))
+    return placed.join(kept, place, "left_semi").select(*docs.columns)
