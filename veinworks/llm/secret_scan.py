@@ -1,7 +1,11 @@
 """Secret scans: candidate strings, and a random forest that removes false positives, in DataFrame functions only.
 
-A candidate is a whole run of letters, digits and ``+ / _ - =`` of twelve or
-more characters that holds a digit. Its features (``FEATURES``) are its length, shares of character
+A candidate is one of three things: a value of six or more characters that is
+assigned (``=`` or ``:``) to a key with a secret word, in quotes with any
+characters, or without quotes up to the next space, quote, comma or semicolon;
+a value of six or more characters with a digit after ``KEY=``; or a run of
+letters, digits and ``+ / _ -`` (and ``=`` at its end) of twelve or more
+characters that holds a digit and isn't itself a key. Its features (``FEATURES``) are its length, shares of character
 classes, transitions between classes, entropy, coverage by dictionary words,
 the document's path, and the words before and after it. The forest is trained
 on labelled findings: rows of value, before, after, path and label.
@@ -26,7 +30,6 @@ from pyspark.sql import functions as F
 
 from veinworks.llm.storage import checkpointed
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{12,}+"
 THRESHOLD = 0.5
 TRAINING_ROWS = 20_000
 TREES, DEPTH = 40, 7
@@ -36,10 +39,24 @@ LEFT, RIGHT = 60, 20
 # Words that stand near secrets, near harmless identifiers, in paths of tests, and in made-up names.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "private_key", "auth", "bearer", "credential", "credentials", "client_secret")
 HARMLESS_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "revision", "uuid", "guid", "etag", "version", "order", "invoice", "isbn", "serial", "phone", "card", "account", "build", "hash", "integrity")
+#: A key may go on after its secret word, as in ``password_2`` or ``token-value``.
+_KEY = "(?i:" + "|".join(sorted(SECRET_WORDS, key=len, reverse=True)) + r")(?:[_-][A-Za-z0-9_-]{1,12}|s|[0-9]{1,2})?+"
+_ASSIGNED = r"(?<=[=:]\s{0,2}[\"'`]?)(?<=" + _KEY.replace("?+", "?") + r"[\"'`]?\s{0,2}[=:]\s{0,2}%s)"
+_NO_KEY = r"(?![A-Za-z0-9+/_-]*" + _KEY + r"[\"'`]?\s{0,2}[=:])"
+CANDIDATE = "|".join(
+    [
+        *(_ASSIGNED % q + rf"[^{q}\r\n]{{6,}}+(?={q})" for q in "\"'`"),
+        _ASSIGNED % "" + r"[^\s\"'`,;]{5,}(?<![)\]}])[^\s\"'`,;)\]}]",
+        r"(?<=[A-Za-z0-9_-]=)(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{6,}+={0,2}",
+        r"(?<![A-Za-z0-9+/_-])" + _NO_KEY + r"(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+(?:={1,2}(?![A-Za-z0-9+/_=-])|(?!=[A-Za-z0-9+/_-]))",
+    ]
+)
 TEST_WORDS = ("test", "tests", "example", "examples", "fixture", "fixtures", "sample", "docs", "mock", "demo")
 DICTIONARY = ("user", "name", "file", "data", "test", "example", "sample", "your", "here", "placeholder", "default", "config", "value", "index", "table", "page", "image", "version", "release", "build", "report", "model", "number", "order", "item", "group", "server", "client", "service", "module", "section", "chapter", "figure", "update", "backup", "change", "token", "secret", "password", "redacted", "dummy", "the", "and", "ing", "tion")
+#: What stands in place of a secret in prose, templates and code.
+PLACEHOLDERS = ("required", "optional", "string", "none", "null", "undefined", "true", "false", "enter", "please", "must", "missing", "invalid", "expired", "example", "redacted", "secret", "masked", "hidden", "placeholder", "changed", "should", "which", "access", "refresh", "default", "process", "config", "value", "the", "your", "this", "they", "what", "with", "for", "number", "boolean", "integer", "object")
 
-FEATURES = ("length", "digits", "upper", "lower", "signs", "hex", "transitions", "letter_digit", "distinct", "entropy", "repeats", "vowels", "dictionary", "slashes", "test_path", "secret_before", "harmless_before", "assigned", "quoted", "secret_after", "harmless_after")
+FEATURES = ("length", "digits", "upper", "lower", "signs", "hex", "transitions", "letter_digit", "distinct", "entropy", "repeats", "vowels", "dictionary", "slashes", "test_path", "secret_before", "harmless_before", "assigned", "quoted", "secret_after", "harmless_after", "spaces", "others", "template", "placeholder")
 
 
 def _count(text: Column, rule: str) -> Column:
@@ -78,6 +95,10 @@ def with_features(findings: DataFrame) -> DataFrame:
         "quoted": before.rlike("[\"'`]$").cast("double"),
         "secret_after": after.rlike(_any(SECRET_WORDS)).cast("double"),
         "harmless_after": after.rlike(_any(HARMLESS_WORDS)).cast("double"),
+        "spaces": _count(v, " "),
+        "others": _count(v, "[^A-Za-z0-9+/_= -]") / n,
+        "template": v.rlike(r"[{}<>()\[\]]|\$[A-Za-z]|^%|::|://").cast("double"),
+        "placeholder": F.lower(v).rlike(r"^[\W_]*(?:" + "|".join(PLACEHOLDERS) + r")(?![a-z0-9])|\*{3}|(?:^|[_ -])here$|^your|[a-z]\.[a-z]").cast("double"),
     }
     return findings.withColumns({k: made[k] for k in FEATURES})
 
@@ -97,6 +118,7 @@ def builtin_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     key = F.when(number("case", 0, 3) == 0, F.upper(key)).otherwise(key)
     assign = pick("assign", ' = "', '="', ": ", ' = "', "='", "=")
     name = lambda salt: pick(salt, *DICTIONARY)
+    phrase = [pick(f"w{k}", "correct", "horse", "battery", "staple", "river", "orange", "candle", "velvet", "planet", "winter", "copper", "jazz") for k in range(1, 5)]
     kinds = [
         (1, hexed("a"), F.concat(filler, key, assign)),
         (1, mixed("b"), F.concat(filler, key, assign)),
@@ -114,6 +136,18 @@ def builtin_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (0, F.concat_ws("/", name("o1"), name("o2"), F.concat(name("o3"), number("o4", 1, 99).cast("string"))), filler),
         (0, F.concat_ws("-", F.lit("2024"), number("q1", 10, 12).cast("string"), number("q2", 10, 28).cast("string"), name("q3"), name("q4")), filler),
         (0, F.concat(pick("r1", "thererstan", "ountheren", "lesauxment", "einheitung"), number("r2", 10, 9999).cast("string")), filler),
+        (1, F.concat(name("s1"), number("s2", 1, 9999).cast("string")), F.concat(filler, key, assign)),
+        (1, F.concat(pick("t1", "hunter", "dragon", "Monkey", "qwerty", "Winter", "letmein", "shadow", "Sommer", "soleil"), number("t2", 1, 2030).cast("string"), pick("t3", "", "", "!", "#", "$", "@x")), F.concat(filler, key, assign)),
+        (1, F.concat(mixed("u1").substr(F.lit(1), number("u2", 3, 9)), pick("u3", "!", "@", "#", "$", ".", "&", "!!"), mixed("u4").substr(F.lit(1), number("u5", 3, 9))), F.concat(filler, key, assign)),
+        (1, F.translate(mixed("v"), "0123456789", "kQzvXwpJhb"), F.concat(filler, key, assign)),
+        (1, F.when(number("w0", 0, 2) == 0, F.concat_ws("-", *phrase)).otherwise(F.concat_ws(" ", *phrase)), F.concat(filler, key, pick("wa", ' = "', '="', ': "', "='"))),
+        (0, F.concat(pick("x1", *PLACEHOLDERS), pick("x2", "", "", "", ".", "!")), F.concat(filler, key, assign)),
+        (0, F.concat_ws(" ", pick("y1", *PLACEHOLDERS), word("y2"), word("y3"), name("y4")), F.concat(filler, key, pick("ya", ' = "', '="', ': "'))),
+        (0, F.concat(pick("z1", "${", "{{ ", "<", "$(", "os.environ[", "getenv(", "process.env."), F.upper(key), pick("z2", "}", " }}", ">", ")", "]", "")), F.concat(filler, key, assign)),
+        (0, F.concat(pick("k1", "config.", "self.", "settings.", "request.", "args."), name("k2")), F.concat(filler, key, assign)),
+        (0, F.repeat(pick("b1", "*", "x", ".", "-"), number("b2", 6, 14)), F.concat(filler, key, assign)),
+        (0, F.concat(numbers("c1", 6, 11), pick("c2", "", "", "px", "ms")), F.concat(filler, pick("c3", "id", "width", "size", "page", "order", "time", "v"), F.lit("="))),
+        (0, F.concat(name("d1"), number("d2", 1, 999).cast("string")), F.concat(filler, pick("d3", "name", "ref", "src", "utm", "lang", "class"), F.lit("="))),
     ]
     value, before, label = F.lit(""), F.lit(""), F.lit(0)
     kind = F.pmod(i, F.lit(len(kinds)))
