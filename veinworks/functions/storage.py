@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A batch lies in memory as rows, in the executor's buffers and in the Python worker, so it must not grow with the texts.
+ARROW_BATCH_BYTES = 8_000_000
+_scratch: list[list[DataFrame]] = []
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder is set where that is unset."""
+    """``spark.checkpoint.dir``; a temporary folder is set where that is unset, as in tests on one machine."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not configured:
@@ -18,6 +24,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark hands Python batches of ARROW_BATCH_BYTES at most."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(ARROW_BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once as a Parquet table in the shared folder and read again.
 
@@ -25,10 +43,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     planner: there, estimates of joins are products of their inputs', and in a loop their digits multiply
     until the driver's memory is full.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    with small_batches(spark):
+        df.write.parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
     kept._written_to = path
+    if _scratch:
+        _scratch[-1].append(kept)
     return kept
 
 
@@ -37,3 +59,13 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete at its end all tables that ``checkpointed`` wrote within it; results must have been written out by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        discard(*_scratch.pop())
