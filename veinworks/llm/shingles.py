@@ -8,6 +8,7 @@ occurs n times weighs 1 + ln n.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,7 @@ SIZE = 5
 TURN_BYTES = 2_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-_powers: dict[str, np.ndarray] = {}
+_factors = np.zeros(0, np.uint64)
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -32,24 +32,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(str(base))
-    if have is None or len(have) < n:
-        x = np.full(max(n, TURN_BYTES), base, np.uint64)
-        x[0] = 1
-        have = _powers[str(base)] = np.multiply.accumulate(x)
-    return have[:n]
+def _factor(n: int) -> np.ndarray:
+    """A pseudo-random odd factor for each of the first ``n`` places in a word."""
+    global _factors
+    if len(_factors) < n:
+        _factors = mixed(np.arange(1, max(n, 4096) + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
+    return _factors[:n]
 
 
-def _sums(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomials of ``values[start:end]`` in the base, modulo 2**64, whatever the place."""
-    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _power(_BASE, len(values)), dtype=np.uint64)])
-    return (upto[end] - upto[start]) * _power(_INVERSE, len(values) + 1)[start]
+#: A pseudo-random number for each byte.
+_OF_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def turns(texts: pa.Array, size: int = TURN_BYTES) -> Iterator[tuple[int, pa.Array]]:
-    """Slices of about ``size`` bytes, each with its first row's number; one long text is a slice of its own."""
-    n = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+def turns(texts: pa.Array, size: int = TURN_BYTES, least: int = 1) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of about ``size`` bytes, each with its first row's number; a text counts for ``least`` bytes at least, and a long one is a slice of its own."""
+    n = np.cumsum(np.maximum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64), least))
     at = 0
     while at < len(texts):
         upto = max(at + 1, int(np.searchsorted(n, (n[at - 1] if at else 0) + size, side="right")))
@@ -57,26 +54,48 @@ def turns(texts: pa.Array, size: int = TURN_BYTES) -> Iterator[tuple[int, pa.Arr
         at = upto
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words in a row, and where each text's words begin and the last ones end."""
+def _lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the lowercased texts, where each text's begin and the last ones end, and which bytes lie in words."""
     low = pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string()))
     at = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
     raw = np.frombuffer(low.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
-    at = at - at[0]
-    inside = _IN_WORD[raw]
-    before = np.concatenate([[False], inside[:-1]]) if len(raw) else inside
-    before[at[:-1][at[:-1] < len(raw)]] = False  # a word ends with its text
-    first = np.flatnonzero(inside & ~before)
-    after = np.concatenate([inside[1:], [False]]) if len(raw) else inside
+    return raw, at - at[0], _IN_WORD[raw]
+
+
+def _ends(at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end; a word ends with its text."""
+    n = len(inside)
+    before = np.concatenate([[False], inside[:-1]]) if n else inside
+    before[at[:-1][at[:-1] < n]] = False
+    after = np.concatenate([inside[1:], [False]]) if n else inside
     after[at[1:][at[1:] > 0] - 1] = False
-    last = np.flatnonzero(inside & ~after) + 1
-    return mixed(_sums(raw.astype(np.uint64) + np.uint64(1), first, last)), np.searchsorted(first, at)
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
-def sequence_digests(word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each text's word sequence, as two signed halves."""
-    n = np.diff(at).astype(np.uint64)
-    return tuple(mixed(_sums(mixed(word ^ np.uint64(salt)), at[:-1], at[1:]) + n * np.uint64(2 * salt + 1)).astype(np.int64) for salt in (11, 23))
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words in a row, and where each text's words begin and the last ones end."""
+    raw, at, inside = _lowered(texts)
+    first, last = _ends(at, inside)
+    length = last - first
+    upto = np.concatenate([[0], np.cumsum(length)])
+    place = np.arange(upto[-1]) - np.repeat(upto[:-1], length)
+    # a sum of products with pseudo-random factors; powers of one base would let regular words collide
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_OF_BYTE[raw[inside]] * _factor(int(length.max(initial=0)))[place], dtype=np.uint64)])
+    return mixed(sums[upto[1:]] - sums[upto[:-1]] + length.astype(np.uint64)), np.searchsorted(first, at)
+
+
+def sequence_digests(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits (BLAKE2b) of each text's words, lowercased and one space apart, as two signed halves."""
+    raw, at, inside = _lowered(texts)
+    first, last = _ends(at, inside)
+    length = last - first
+    upto = np.concatenate([[0], np.cumsum(length + 1)])
+    spaced = np.full(upto[-1], 32, np.uint8)
+    spaced[np.arange(int(length.sum())) + np.repeat(np.arange(len(first)), length)] = raw[inside]
+    edges, data = upto[np.searchsorted(first, at)].tolist(), spaced.data
+    found = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    halves = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()
 
 
 def shingled(word: np.ndarray, at: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:

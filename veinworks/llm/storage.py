@@ -1,55 +1,17 @@
-"""The folder all executors share, and checkpoints in it."""
+"""The folder all executors share: tables and plain files in it."""
 
 from __future__ import annotations
 
 import gc
 import os
-import tempfile
 import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A batch lies in memory as rows, in the executor's buffers and in the Python worker, so it must not grow with the texts.
-ARROW_BATCH_BYTES = 8_000_000
+from veinworks.functions.storage import checkpoint_dir, checkpointed, discard, scratch, small_batches
 
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (tests on one machine) a temporary folder is set as checkpoint folder."""
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if configured:
-        return configured
-    made = tempfile.mkdtemp(prefix="veinworks-checkpoints-")
-    sc.setCheckpointDir(made)
-    return sc.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once as a Parquet table in the shared folder and read again.
-
-    A lost executor costs no recomputation. Unlike ``checkpoint()``, the table brings its real size to the
-    planner: there, estimates of joins are products of their inputs', and in a loop their digits multiply
-    until the driver's memory is full.
-    """
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    kept = df.sparkSession.read.schema(df.schema).parquet(path)
-    kept._written_to = path
-    return kept
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete the files of tables that ``checkpointed`` wrote and nothing will read again."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def mapped_in_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow(function, schema)`` with batches of about ARROW_BATCH_BYTES at most, however long the texts are."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
-    return df.mapInArrow(function, schema)
+__all__ = ["checkpoint_dir", "checkpointed", "discard", "released", "scratch", "shared_folder", "small_batches", "table"]
 
 
 def released(spark: SparkSession) -> None:

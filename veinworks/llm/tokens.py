@@ -23,7 +23,7 @@ WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Most distinct words that a Python worker remembers, and the longest remembered.
 MEMORY_WORDS, MEMORY_LENGTH = 1_000_000, 64
 #: Texts of more bytes in all are encoded in turns, to bound memory.
-TURN_BYTES = 16_000_000
+TURN_BYTES = 4_000_000
 
 
 class Encoder:
