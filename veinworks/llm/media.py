@@ -1,7 +1,8 @@
 """Media columns: lossless PNG bytes and cosine-transform hashes.
 
 ``encode_png`` writes 8-bit greyscale PNG: signature, IHDR, IDAT (zlib), IEND,
-each chunk with its CRC-32. ``decode_png`` tests the signature, every chunk's
+each chunk with its CRC-32, and for each row the filter of None, Sub and Up
+that leaves the least differences. ``decode_png`` tests the signature, every chunk's
 checksum, the header and the length of the data, and undoes all five row
 filters with numpy. ``dct_hash`` takes the 8 x 8 lowest frequencies of the
 two-dimensional cosine transform, without the constant one, and keeps for
@@ -42,20 +43,41 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def encode_png(pixels: np.ndarray, filters: np.ndarray | int = NONE, level: int = 6) -> bytes:
-    """8-bit greyscale PNG of a two-dimensional uint8 array; ``filters`` is one type or one for each row."""
+def _predictions(pixels: np.ndarray) -> dict[int, np.ndarray]:
+    """What each filter type but None predicts for every pixel."""
+    x = pixels.astype(np.int16)
+    a = np.pad(x, ((0, 0), (1, 0)))[:, :-1]
+    b = np.pad(x, ((1, 0), (0, 0)))[:-1]
+    c = np.pad(x, ((1, 0), (1, 0)))[:-1, :-1]
+    return {SUB: a, UP: b, AVERAGE: (a + b) // 2, PAETH: _paeth(a, b, c)}
+
+
+def chosen_filters(pixels: np.ndarray) -> np.ndarray:
+    """For each row the type of None, Sub and Up whose differences have the least sum of absolute values (as signed bytes).
+
+    Sub and Up must leave a quarter of None's at most: text has repeated strings, which compress better unfiltered.
+    """
+    left, above = np.zeros_like(pixels), np.zeros_like(pixels)
+    left[:, 1:], above[1:] = pixels[:, :-1], pixels[:-1]
+    sums = [weight * np.abs((pixels - p).view(np.int8).astype(np.int16)).sum(axis=1) for weight, p in ((1, np.zeros_like(pixels)), (4, left), (4, above))]
+    return np.argmin(sums, axis=0).astype(np.uint8)
+
+
+def encode_png(pixels: np.ndarray, filters: np.ndarray | int | None = None, level: int = 6) -> bytes:
+    """8-bit greyscale PNG of a two-dimensional uint8 array; ``filters`` is one type, one for each row, or None to choose for each row."""
     height, width = pixels.shape
-    kinds = np.broadcast_to(np.asarray(filters, np.uint8), (height,))
+    kinds = chosen_filters(pixels) if filters is None else np.broadcast_to(np.asarray(filters, np.uint8), (height,))
     rows = np.empty((height, width + 1), np.uint8)
     rows[:, 0], rows[:, 1:] = kinds, pixels
-    if kinds.any():
-        x = pixels.astype(np.int16)
-        a = np.pad(x, ((0, 0), (1, 0)))[:, :-1]
-        b = np.pad(x, ((1, 0), (0, 0)))[:-1]
-        c = np.pad(x, ((1, 0), (1, 0)))[:-1, :-1]
-        for kind, predicted in ((SUB, a), (UP, b), (AVERAGE, (a + b) // 2), (PAETH, _paeth(a, b, c))):
+    if kinds.max(initial=0) > UP:
+        for kind, predicted in _predictions(pixels).items():
             mine = kinds == kind
-            rows[mine, 1:] = ((x - predicted) % 256)[mine]
+            rows[mine, 1:] = ((pixels.astype(np.int16) - predicted) % 256)[mine]
+    elif kinds.any():
+        sub, up = np.flatnonzero(kinds == SUB), np.flatnonzero(kinds == UP)
+        rows[sub, 2:] -= pixels[sub, :-1]
+        up = up[up > 0]
+        rows[up, 1:] -= pixels[up - 1]
     header = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + _chunk(b"IEND", b"")
 
@@ -104,27 +126,36 @@ def unfiltered(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return rows
     if kinds.max() > PAETH:
         raise MediaError("an unknown filter type")
-    out = np.empty_like(rows)
-    above = np.zeros(rows.shape[1], np.uint8)
-    for i, kind in enumerate(kinds.tolist()):
-        if kind == SUB:
-            out[i] = np.cumsum(rows[i], dtype=np.uint8)
-        elif kind in (NONE, UP):
-            out[i] = rows[i] if kind == NONE else rows[i] + above
-        else:
-            left = corner = 0
-            for k, (x, up) in enumerate(zip(rows[i].tolist(), above.tolist(), strict=True)):
-                if kind == AVERAGE:
-                    guess = (left + up) // 2
-                else:
-                    near = left + up - corner
-                    guess = min((left, up, corner), key=lambda v, near=near: abs(near - v))
-                left, corner = (x + guess) % 256, up
-                out[i, k] = left
-        above = out[i]
+    if kinds.max() > UP:
+        return _swept(kinds, rows)
+    out = rows.copy()
+    sub = kinds == SUB
+    out[sub] = np.cumsum(rows[sub], axis=1, dtype=np.uint8)
+    up = kinds == UP
+    if up.any():
+        # an Up row is the last other row before it plus the sum of the Up rows since then
+        padded = np.zeros((len(rows) + 1, rows.shape[1]), np.uint8)
+        padded[1:][~up] = out[~up]
+        sums = np.zeros_like(padded)
+        np.cumsum(np.where(up[:, None], rows, 0), axis=0, dtype=np.uint8, out=sums[1:])
+        base = np.maximum.accumulate(np.where(up, 0, np.arange(1, len(rows) + 1)))[up]
+        out[up] = padded[base] + sums[1:][up] - sums[base]
     return out
 
 
+def _swept(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """All five filters, by sweeps over the diagonals: the pixels of one need only those of the two before it."""
+    height, width = rows.shape
+    out = np.zeros((height + 1, width + 1), np.int16)
+    for d in range(height + width - 1):
+        i = np.arange(max(0, d - width + 1), min(height, d + 1))
+        j = d - i
+        kind, a, b, c = kinds[i], out[i + 1, j], out[i, j + 1], out[i, j]
+        guess = np.choose(kind, (np.zeros_like(a), a, b, (a + b) // 2, _paeth(a, b, c)))
+        out[i + 1, j + 1] = (rows[i, j] + guess) % 256
+    return out[1:, 1:].astype(np.uint8)
+
+
 def _cosines(n: int) -> np.ndarray:
     return np.cos(np.pi / n * np.outer(np.arange(FREQUENCIES), np.arange(n) + 0.5))
 
