@@ -4,16 +4,19 @@ Base spans are the leftmost non-overlapping matches of each kind's rule that
 pass its test (``KINDS``). They seed the bootstrap: a seed's neighbouring words
 make lexical patterns (the two words before it; the word before and the word
 after), digits written as 0. Candidates are white-space separated chunks that
-hold a digit and overlap no base span. Patterns and instances (distinct seed
-and candidate strings) form a graph; in each round, for each kind,
+hold a digit, ``@``, ``_`` or an inner ``(`` and overlap no base span. Patterns and
+instances (distinct seed and candidate strings) form a graph; in each round,
+for each kind,
 
     confidence of a pattern   = mean of its instances' beliefs * (1 - 2 ** -sum of beliefs)
     belief in a candidate     = 1 - product over its patterns of (1 - confidence)
 
 where a seed's belief is 1 for its kind and 0 for others, and a pattern without
-``SUPPORT`` distinct seeds of the kind has none. After ``ROUNDS`` rounds, each
-checkpointed, candidates with a belief of ``ACCEPT`` or more become spans of
-their best kind.
+``SUPPORT`` distinct seeds of the kind has none. After a round, candidates with
+a belief of ``ACCEPT`` or more become seeds of their best kind, so that their
+contexts make patterns that reach further candidates; the seeds of a round are
+told anew by the next. After ``ROUNDS`` rounds, each written down, the seeds
+that aren't base spans become spans.
 
 The rules are written with look-behinds and possessive quantifiers, which find
 the same matches as the plain ones but never scan a run of characters twice.
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from veinworks.llm.storage import checkpointed
 
-SUPPORT, ACCEPT, ROUNDS = 3, 0.9, 3
+SUPPORT, ACCEPT, ROUNDS = 3, 0.9, 6
 
 #: Kinds in the order in which they are listed, and their rules.
 KINDS = {
@@ -41,8 +44,8 @@ KINDS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: A chunk that holds a digit.
-CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+#: A chunk that holds a digit, ``@``, ``_``, or a bracket after other characters.
+CANDIDATE = r"(?<!\S)(?:[^\s0-9@_(]++\(|[^\s0-9@_]*+[0-9@_])\S*+"
 #: What a text must contain for a rule to be tried.
 HINTS = {"email": "@", "phone": "+"}
 
@@ -113,21 +116,25 @@ def unseen_spans(spans: DataFrame) -> DataFrame:
         .select("row", "kind", "start", "end", F.xxhash64(F.coalesce("kind", F.lit("")), "value").alias("instance"), F.array_compact(F.array(F.when(F.col("two").isNotNull(), F.xxhash64(F.lit("two"), "two")), F.when(F.col("one").isNotNull() & F.col("after").isNotNull(), F.xxhash64(F.lit("around"), "one", "after")))).alias("patterns"))
     )
     graph = checkpointed(free.select("instance", "kind", F.explode("patterns").alias("pattern")).distinct())
-    size = graph.groupBy("pattern").agg(F.count("*").alias("size"))
-    seeded = graph.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("seeds")).where(F.col("seeds") >= SUPPORT)
-    known = checkpointed(seeded.join(size, "pattern"))
+    found = bootstrapped(graph)
+    return free.where("kind is null").drop("kind").join(found.select("instance", "kind"), "instance").select("row", "kind", "start", "end")
+
+
+def bootstrapped(graph: DataFrame) -> DataFrame:
+    """The candidates that become seeds (instance, kind, belief), from edges (instance, kind, pattern) with a null kind for candidates."""
+    size = checkpointed(graph.groupBy("pattern").agg(F.count("*").alias("size")))
+    seeded = checkpointed(graph.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("seeds")))
     candidates = graph.where("kind is null").select("instance", "pattern")
-    beliefs = None
+    told, seeds = seeded.withColumn("sum", F.col("seeds")), None
     for _ in range(ROUNDS):
-        if beliefs is None:
-            told = known.withColumn("sum", F.col("seeds"))
-        else:
-            more = candidates.join(beliefs, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("more"))
-            told = known.join(more, ["pattern", "kind"], "left").withColumn("sum", F.col("seeds") + F.coalesce("more", F.lit(0.0)))
-        sure = told.select("pattern", "kind", F.least(F.lit(1 - 1e-9), F.col("sum") / F.col("size") * (1 - F.pow(F.lit(2.0), -F.col("sum")))).alias("confidence"))
+        sure = told.where(F.col("seeds") >= SUPPORT).join(size, "pattern").select("pattern", "kind", F.least(F.lit(1 - 1e-9), F.col("sum") / F.col("size") * (1 - F.pow(F.lit(2.0), -F.col("sum")))).alias("confidence"))
         beliefs = checkpointed(candidates.join(sure, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("belief")))
-    best = beliefs.where(F.col("belief") >= ACCEPT).groupBy("instance").agg(F.max_by("kind", F.struct("belief", "kind")).alias("kind"))
-    return free.where("kind is null").drop("kind").join(best, "instance").select("row", "kind", "start", "end")
+        best = beliefs.groupBy("instance").agg(F.max(F.struct("belief", "kind")).alias("best"))
+        seeds = checkpointed(best.where(F.col("best.belief") >= ACCEPT).select("instance", "best.kind", "best.belief"))
+        chosen = seeds.select("instance", "kind", F.lit(1.0).alias("seed"))
+        more = candidates.join(beliefs, "instance").join(chosen, ["instance", "kind"], "left").groupBy("pattern", "kind").agg(F.sum("belief").alias("_sum"), F.sum(F.coalesce("seed", F.lit(0.0))).alias("_seeds"))
+        told = seeded.join(more, ["pattern", "kind"], "full").select("pattern", "kind", (F.coalesce("seeds", F.lit(0.0)) + F.coalesce("_seeds", F.lit(0.0))).alias("seeds"), (F.coalesce("seeds", F.lit(0.0)) + F.coalesce("_sum", F.lit(0.0))).alias("sum"))
+    return seeds
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
