@@ -243,14 +243,40 @@ def test_near_duplicates_against_brute_force(spark):
     assert sum(r["kept"] for r in got) == len(least)
 
 
-def test_near_duplicate_rounds_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "LEADERS", 1)
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", 1)
+    monkeypatch.setattr(neardup, "PART", 3)
     texts = corpus()
     got = neardup.near_duplicates(docs(spark, list(enumerate(texts)))).collect()
     want = classes(texts)
     assert len({(r["class_id"], want[r["doc_id"]]) for r in got}) == len(set(want))
 
 
+def test_prefixes_meet_for_every_similar_pair(spark):
+    """The filter alone, without buckets: every pair at the threshold shares a prefix shingle that the bound allows."""
+    texts = corpus()
+    nodes = spark.createDataFrame([(i, t or "") for i, t in enumerate(texts)], "node long, text string")
+    prefixes = neardup._prefixes(nodes, 0.8)
+    labels = spark.createDataFrame([], "node long, label long")
+    met = {(r["a"], r["b"]) for r in neardup._prefix_pairs(prefixes, labels, 0.8).collect()}
+    sets = [weights(t) for t in texts]
+    alike = {(i, j) for i, j in combinations(range(len(texts)), 2) if sets[i] and sets[j] and similarity(sets[i], sets[j]) >= 0.8}
+    assert alike <= met and len(met) < len(texts) ** 2 / 4
+
+
+def test_long_repetitive_texts_have_different_digests():
+    bits = [0]
+    for _ in range(12):
+        bits += [1 - b for b in bits]
+    pair = pa.array([" ".join("ab"[b] for b in bits), " ".join("ba"[b] for b in bits)])
+    runs = pa.array(["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)])
+    for half in shingles.sequence_digests(pair):
+        assert half[0] != half[1]
+    assert len(set(shingles.words(runs)[0].tolist())) == 2
+    same = shingles.sequence_digests(pa.array(["One, two!", "one two", "onetwo", "", None, " \n"]))[0].tolist()
+    assert same[0] == same[1] != same[2] and same[3] == same[4] == same[5]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = neardup.near_duplicates(docs(spark)).collect()
     assert len(got) == len(TEXTS)
@@ -258,6 +284,8 @@ def test_near_duplicates_of_odd_rows(spark):
     for r in got:
         of.setdefault(r["doc_id"], set()).add(r["class_id"])
     assert of[1] == of[2] == of[3] == {1} and of[4] == of[5] == {4} and of[6] == of[12] == {6}
+    kept = [r["class_key"] for r in got if r["kept"]]
+    assert sorted(kept) == sorted({r["class_key"] for r in got})  # one of each, of null and repeated ids too
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
     kept = neardup.one_of_each(docs(spark))
     assert kept.columns == docs(spark).columns
@@ -408,6 +436,52 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[40] == f"card:26:{26 + len(bad)}" and got[41] == ""
 
 
+def test_discovered_instances_reach_further_ones(spark):
+    """Seeds teach a first context; what it discovers teaches a second one, which no seed stands in."""
+    seeds = [(f"mail me at user{k}@corp{k}.com please", True) for k in range(12)]
+    first = [(f"mail me at jane{c}(at)corp please", True) for c in "abcdef"]
+    bridge = [(f"contact: jane{c}(at)corp soon", True) for c in "abcdef"]
+    second = [(f"contact: zoe{c}(at)else soon", True) for c in "abcdef"]
+    other = [(f"the number of {c}_rows is small", False) for c in "abcdef"]
+    rows = seeds + first + bridge + second + other
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs(spark, [(i, t) for i, (t, _) in enumerate(rows)])).collect()}
+    found = {i for i, s in got.items() if s}
+    assert found == {i for i, (_, wanted) in enumerate(rows) if wanted}
+
+
+def test_graph_scores_equal_plain_loops(spark):
+    r = random.Random(3)
+    edges = {(i, ("email", "phone", None)[i % 3], p) for i in range(60) for p in r.sample(range(25), 4)}
+    edges |= {(i, "email", 99) for i in range(0, 60, 3)} | {(i, None, 99) for i in (2, 5, 8)}
+    got = {x["instance"]: (x["kind"], round(x["belief"], 9)) for x in pii.bootstrapped(spark.createDataFrame(list(edges), "instance long, kind string, pattern long")).collect()}
+    size, seeded = {}, {}
+    for i, k, p in edges:
+        size[p] = size.get(p, 0) + 1
+        if k:
+            seeded[p, k] = seeded.get((p, k), 0) + 1
+    told = {x: (n, n) for x, n in seeded.items()}
+    for _ in range(pii.ROUNDS):
+        sure = {(p, k): min(1 - 1e-9, s / size[p] * (1 - 2.0**-s)) for (p, k), (n, s) in told.items() if n >= pii.SUPPORT}
+        belief = {}
+        for i, own, p in edges:
+            if own is None:
+                for k in ("email", "phone"):
+                    if (p, k) in sure:
+                        belief[i, k] = 1 - (1 - belief.get((i, k), 0)) * (1 - sure[p, k])
+        best = {}
+        for (i, k), b in belief.items():
+            best[i] = max(best.get(i, (0, "")), (b, k))
+        want = {i: (k, b) for i, (b, k) in best.items() if b >= pii.ACCEPT}
+        told = {x: [n, n] for x, n in seeded.items()}
+        for i, own, p in edges:
+            if own is None:
+                for k in ("email", "phone"):
+                    if (i, k) in belief:
+                        n, s = told.get((p, k), (0, 0))
+                        told[p, k] = [n + (want.get(i, ("",))[0] == k), s + belief[i, k]]
+    assert want and got == {i: (k, round(b, 9)) for i, (k, b) in want.items()}
+
+
 # --- chat -------------------------------------------------------------------
 
 CHAT = "conv_id long, turn long, role string, text string, message long, parent long, score double, tree long"
@@ -455,6 +529,12 @@ def test_secrets_are_masked_and_the_rest_is_kept(spark):
     assert out[1]["text"] == 'the token = "[SECRET]" ends' and out[1]["n_chars"] == len(out[1]["text"])
     assert out[2]["text"] == 'THE TOKEN = "[SECRET]"!! ENDS'
     assert out[3]["text"] == texts[2][1] and out[4]["text"] == texts[3][1] and out[9]["text"] == LONG and out[10]["text"] == "x" * 50_000
+    every = secret_scan.secret_findings(some).collect()
+    whole = dict(TEXTS) | dict(texts[:4])
+    for r in (r for r in every if r["doc_id"] is not None):  # no offset depends on a column of the input
+        assert hashlib.sha256(whole[r["doc_id"]][r["start"] : r["end"]].encode()).hexdigest() == r["value_sha256"]
+    clash = some.withColumn("_verdicts", F.lit(1)).withColumn("verdicts", F.lit(2)).withColumn("doc", F.lit(3))
+    assert rows_of(secret_scan.redacted(clash).drop("_verdicts", "verdicts", "doc"), *some.columns) == rows_of(got, *some.columns)
     found = rows_of(secret_scan.secret_findings(some).where("is_secret"), "doc_id", "start", "end", "value_sha256")
     assert found[0][:3] == (1, 13, 53) and found[0][3] == hashlib.sha256(SECRET.encode()).hexdigest() and len(found) == 2
     assert secret_scan.redacted(docs(spark, [])).count() == 0 and secret_scan.secret_findings(docs(spark, [])).count() == 0

@@ -7,16 +7,19 @@ a value of six or more characters with a digit after ``KEY=``; or a run of
 letters, digits and ``+ / _ -`` (and ``=`` at its end) of twelve or more
 characters that holds a digit and isn't itself a key. Its features (``FEATURES``) are its length, shares of character
 classes, transitions between classes, entropy, coverage by dictionary words,
-the document's path, and the words before and after it. The forest is trained
-on labelled findings: rows of value, before, after, path and label.
-``builtin_findings`` makes them from fixed lists and hashes; pass your own
-where there are any. At most ``TRAINING_ROWS`` of them are used.
+the document's path, and the words before and after it. The dictionary holds a
+fixed list and the words that at least ``COMMON`` of all documents hold, which
+Spark counts (``dictionary``). The forest is trained on labelled findings: rows
+of value, before, after, path and label. ``builtin_findings`` makes them from
+fixed lists and hashes; pass your own where there are any. At most
+``TRAINING_ROWS`` of them are used.
 
 Defined cases: a null text counts as empty, a null path as the empty path;
 texts without candidates give no findings; equal candidates in equal contexts
 get equal probabilities; a null ``doc_id`` is carried; rows that repeat each
-give their findings; an empty table gives none. ``redacted`` keeps every column
-and row, and changes only texts with secrets (and ``n_chars``, where it is).
+give their findings; an empty table gives none; other columns, whatever their
+names, are not read. ``redacted`` keeps every column and row, and changes only
+texts with secrets (and ``n_chars``, where it is).
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ TRAINING_ROWS = 20_000
 TREES, DEPTH = 40, 7
 MASK = "[SECRET]"
 LEFT, RIGHT = 60, 20
+#: The share of all documents that hold a dictionary word, and the least length of such words.
+COMMON, WORD_LENGTH = 0.001, 4
 
 # Words that stand near secrets, near harmless identifiers, in paths of tests, and in made-up names.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "private_key", "auth", "bearer", "credential", "credentials", "client_secret")
@@ -43,12 +48,14 @@ HARMLESS_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest"
 _KEY = "(?i:" + "|".join(sorted(SECRET_WORDS, key=len, reverse=True)) + r")(?:[_-][A-Za-z0-9_-]{1,12}|s|[0-9]{1,2})?+"
 _ASSIGNED = r"(?<=[=:]\s{0,2}[\"'`]?)(?<=" + _KEY.replace("?+", "?") + r"[\"'`]?\s{0,2}[=:]\s{0,2}%s)"
 _NO_KEY = r"(?![A-Za-z0-9+/_-]*" + _KEY + r"[\"'`]?\s{0,2}[=:])"
+#: A run of twelve or more characters; the test for a digit comes first, as it fails soonest.
+RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])" + _NO_KEY + r"[A-Za-z0-9+/_-]{12,}+(?:={1,2}(?![A-Za-z0-9+/_=-])|(?!=[A-Za-z0-9+/_-]))"
 CANDIDATE = "|".join(
     [
         *(_ASSIGNED % q + rf"[^{q}\r\n]{{6,}}+(?={q})" for q in "\"'`"),
         _ASSIGNED % "" + r"[^\s\"'`,;]{5,}(?<![)\]}])[^\s\"'`,;)\]}]",
         r"(?<=[A-Za-z0-9_-]=)(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{6,}+={0,2}",
-        r"(?<![A-Za-z0-9+/_-])" + _NO_KEY + r"(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+(?:={1,2}(?![A-Za-z0-9+/_=-])|(?!=[A-Za-z0-9+/_-]))",
+        RUN,
     ]
 )
 TEST_WORDS = ("test", "tests", "example", "examples", "fixture", "fixtures", "sample", "docs", "mock", "demo")
@@ -56,7 +63,7 @@ DICTIONARY = ("user", "name", "file", "data", "test", "example", "sample", "your
 #: What stands in place of a secret in prose, templates and code.
 PLACEHOLDERS = ("required", "optional", "string", "none", "null", "undefined", "true", "false", "enter", "please", "must", "missing", "invalid", "expired", "example", "redacted", "secret", "masked", "hidden", "placeholder", "changed", "should", "which", "access", "refresh", "default", "process", "config", "value", "the", "your", "this", "they", "what", "with", "for", "number", "boolean", "integer", "object")
 
-FEATURES = ("length", "digits", "upper", "lower", "signs", "hex", "transitions", "letter_digit", "distinct", "entropy", "repeats", "vowels", "dictionary", "slashes", "test_path", "secret_before", "harmless_before", "assigned", "quoted", "secret_after", "harmless_after", "spaces", "others", "template", "placeholder")
+FEATURES = ("length", "digits", "upper", "lower", "signs", "hex", "transitions", "letter_digit", "distinct", "entropy", "repeats", "vowels", "dictionary", "corpus_words", "slashes", "test_path", "secret_before", "harmless_before", "assigned", "quoted", "secret_after", "harmless_after", "spaces", "others", "template", "placeholder")
 
 
 def _count(text: Column, rule: str) -> Column:
@@ -67,8 +74,28 @@ def _any(words: tuple[str, ...]) -> str:
     return r"(?<![a-z0-9])(?:" + "|".join(words) + r")(?![a-z0-9])"
 
 
-def with_features(findings: DataFrame) -> DataFrame:
-    """Add FEATURES to rows of value, before, after and path."""
+def dictionary(docs: DataFrame, common: float = COMMON) -> DataFrame:
+    """The words (``word``, lower-case Latin letters) that at least ``common`` of all documents hold, and five at least; at most (mean words per document) / common rows."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z]{{{WORD_LENGTH},20}}"), F.lit(0)))
+    held = docs.where("text is not null").select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return held.join(docs.agg(F.greatest(F.lit(5.0), F.count("*") * common).alias("_least")), F.col("n") >= F.col("_least")).select("word")
+
+
+def _with_coverage(findings: DataFrame, words: DataFrame | None) -> DataFrame:
+    """Add ``corpus_words``, the share of a value's characters in runs of letters that are words of ``words``."""
+    if words is None:
+        return findings.withColumn("corpus_words", F.lit(0.0))
+    runs = F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit(f"[a-z]{{{WORD_LENGTH},}}"), F.lit(0)))
+    values = findings.select("value").distinct()
+    met = values.select("value", F.explode(runs).alias("word")).join(words.select("word"), "word", "left_semi")
+    times = F.size(F.filter(F.regexp_extract_all(F.lower("value"), F.lit(f"[a-z]{{{WORD_LENGTH},}}"), F.lit(0)), lambda w: w == F.col("word")))
+    covered = met.groupBy("value").agg((F.sum(F.char_length("word") * times) / F.first(F.char_length("value"))).alias("corpus_words"))
+    return findings.join(covered, "value", "left").withColumn("corpus_words", F.coalesce("corpus_words", F.lit(0.0)))
+
+
+def with_features(findings: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """Add FEATURES to rows of value, before, after and path, with a dictionary of ``words``."""
+    findings = _with_coverage(findings, words)
     v, before, after = F.col("value"), F.lower("before"), F.lower("after")
     n = F.char_length(v).cast("double")
     chars = F.split(F.col("value"), "")
@@ -100,7 +127,7 @@ def with_features(findings: DataFrame) -> DataFrame:
         "template": v.rlike(r"[{}<>()\[\]]|\$[A-Za-z]|^%|::|://").cast("double"),
         "placeholder": F.lower(v).rlike(r"^[\W_]*(?:" + "|".join(PLACEHOLDERS) + r")(?![a-z0-9])|\*{3}|(?:^|[_ -])here$|^your|[a-z]\.[a-z]").cast("double"),
     }
-    return findings.withColumns({k: made[k] for k in FEATURES})
+    return findings.withColumns({k: made[k] for k in FEATURES if k != "corpus_words"})
 
 
 def builtin_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
@@ -149,56 +176,91 @@ def builtin_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (0, F.concat(numbers("c1", 6, 11), pick("c2", "", "", "px", "ms")), F.concat(filler, pick("c3", "id", "width", "size", "page", "order", "time", "v"), F.lit("="))),
         (0, F.concat(name("d1"), number("d2", 1, 999).cast("string")), F.concat(filler, pick("d3", "name", "ref", "src", "utm", "lang", "class"), F.lit("="))),
     ]
-    value, before, label = F.lit(""), F.lit(""), F.lit(0)
-    kind = F.pmod(i, F.lit(len(kinds)))
-    for k, (l, v, b) in enumerate(kinds):
-        value, before, label = F.when(kind == k, v).otherwise(value), F.when(kind == k, b).otherwise(before), F.when(kind == k, l).otherwise(label)
     path = pick("path", "src0", "src7", "app/config.py", "deploy/values.yaml", "src/main.rs", "tests/test_auth.py", "docs/example.md", "", "web/index.html")
-    return spark.range(rows).select(value.alias("value"), before.alias("before"), F.concat(pick("after", '"', "' ", " ", "\n", "!! ", "### "), word("af")).alias("after"), path.alias("path"), label.cast("double").alias("label"))
+    after = F.concat(pick("after", '"', "' ", " ", "\n", "!! ", "### "), word("af"))
+    made, some = None, 7  # a projection of all kinds at once is too long to compile
+    for first in range(0, len(kinds), some):
+        kind = F.pmod(i, F.lit(len(kinds)))
+        value, before, label = F.lit(""), F.lit(""), F.lit(0)
+        for k, (l, v, b) in enumerate(kinds[first : first + some], first):
+            value, before, label = F.when(kind == k, v).otherwise(value), F.when(kind == k, b).otherwise(before), F.when(kind == k, l).otherwise(label)
+        part = spark.range(rows).where(kind.between(first, first + some - 1)).select(value.alias("value"), before.alias("before"), after.alias("after"), path.alias("path"), label.cast("double").alias("label"))
+        made = part if made is None else made.unionByName(part)
+    return made
 
 
-def train(findings: DataFrame) -> PipelineModel:
+def train(findings: DataFrame, words: DataFrame | None = None) -> PipelineModel:
     """A forest over FEATURES, from at most TRAINING_ROWS labelled findings (those of least hash)."""
-    rows = findings.orderBy(F.xxhash64("value", "before", "after", "path")).limit(TRAINING_ROWS)
+    rows = checkpointed(findings.select("value", "before", "after", "path", "label").orderBy(F.xxhash64("value", "before", "after", "path")).limit(TRAINING_ROWS))
     forest = RandomForestClassifier(labelCol="label", featuresCol="_features", numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="onethird", seed=7)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="_features"), forest]).fit(checkpointed(with_features(rows).select(*FEATURES, "label")))
+    table = checkpointed(with_features(rows, words).select(*FEATURES, "label").orderBy(F.xxhash64(*FEATURES, "label")))
+    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="_features"), forest]).fit(table)
 
 
-def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """One row per candidate: row, doc_id, nth, start, end, value, before, after, path."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    gaps, found = F.split(text, F.lit(CANDIDATE), -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+def _by_rule(text: Column, of) -> Column:
+    """``of`` the rule for candidates; a text without ``=`` and ``:`` can only hold runs, which are looked for faster."""
+    return F.when(F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")), of(F.lit(CANDIDATE))).otherwise(of(F.lit(RUN)))
+
+
+def _holds_candidate(text: Column) -> Column:
+    return F.coalesce(_by_rule(text, lambda rule: F.regexp_like(text, rule)), F.lit(False))
+
+
+def _split(text: Column) -> tuple[Column, Column]:
+    """The parts of a text between candidates, and the candidates."""
+    return _by_rule(text, lambda rule: F.split(text, rule, -1)), _by_rule(text, lambda rule: F.regexp_extract_all(text, rule, F.lit(0)))
+
+
+def _numbered(docs: DataFrame, path: str) -> DataFrame:
+    """row, doc_id, path and text of the documents with candidates, and the whole row in ``doc``."""
+    at = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
+    some = docs.where(_holds_candidate(F.col("text")))
+    return some.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), at.alias("path"), F.col("text").alias("text"), F.struct(*docs.columns).alias("doc"))
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """One row per candidate of rows of row, doc_id, path and text."""
+    text = F.col("text")
+    gaps, found = _split(text)
     both = F.transform(F.arrays_zip(found.alias("f"), gaps.alias("g"), F.slice(gaps, 2, F.size(gaps)).alias("h")), lambda x: F.when(x["f"].isNotNull(), F.struct(x["f"].alias("value"), F.char_length(x["g"]).alias("gap"), F.right(x["g"], F.lit(LEFT)).alias("before"), F.left(x["h"], F.lit(RIGHT)).alias("after"))))
-    at = F.coalesce(F.col(path), F.lit("")) if path in docs.columns else F.lit("")
-    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
-    hits = docs.where(text.rlike(CANDIDATE)).select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), at.alias("path"), F.filter(both, lambda m: m.isNotNull()).alias("_m"))
+    hits = rows.select("row", "doc_id", "path", F.filter(both, lambda m: m.isNotNull()).alias("_m"))
     each = checkpointed(hits.select("row", "doc_id", "path", F.posexplode("_m").alias("nth", "m")))
     end = F.sum(F.col("m.gap") + F.char_length("m.value")).over(Window.partitionBy("row").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))
     return each.withColumn("end", end).select("row", "doc_id", "nth", (F.col("end") - F.char_length("m.value")).alias("start"), "end", "m.value", "m.before", "m.after", "path")
 
 
-def scored(found: DataFrame, model: PipelineModel) -> DataFrame:
+def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
+    """One row per candidate: row, doc_id, nth, start, end, value, before, after, path."""
+    return _candidates(_numbered(docs, path).drop("doc"))
+
+
+def scored(found: DataFrame, model: PipelineModel, words: DataFrame | None = None) -> DataFrame:
     """Add ``probability`` and ``is_secret`` to candidates."""
-    told = model.transform(with_features(found)).withColumn("probability", vector_to_array("probability")[1])
+    told = model.transform(with_features(found, words)).withColumn("probability", vector_to_array("probability")[1])
     return told.withColumn("is_secret", F.col("probability") >= THRESHOLD).drop(*FEATURES, "_features", "rawPrediction", "prediction")
 
 
+def _trained(docs: DataFrame, labelled: DataFrame | None) -> tuple[PipelineModel, DataFrame]:
+    words = checkpointed(dictionary(docs))
+    return train(builtin_findings(docs.sparkSession) if labelled is None else labelled, words), words
+
+
 def secret_findings(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """One row per candidate in every whole text: where it is, the digest of its value, its probability of being a secret, and the verdict."""
-    model = train(builtin_findings(docs.sparkSession) if labelled is None else labelled)
-    return scored(candidates(docs), model).select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret")
+    model, words = _trained(docs, labelled)
+    return scored(candidates(docs), model, words).select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret")
 
 
 def redacted(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """``docs`` with every secret replaced by MASK. Only texts with candidates are shuffled."""
-    model = train(builtin_findings(docs.sparkSession) if labelled is None else labelled)
-    has = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
-    some = checkpointed(docs.where(has).withColumn("_row", F.monotonically_increasing_id()))
-    verdicts = scored(candidates(some), model).groupBy(F.col("row").alias("_row")).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "is_secret"))), lambda s: s["is_secret"]).alias("_verdicts"))
-    gaps, found = F.split("text", CANDIDATE, -1), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
-    parts = F.transform(F.arrays_zip(gaps.alias("g"), found.alias("f"), F.col("_verdicts").alias("v")), lambda x: F.concat(x["g"], F.when(x["v"], F.lit(MASK)).otherwise(F.coalesce(x["f"], F.lit("")))))
-    changed = some.join(verdicts, "_row").withColumn("text", F.array_join(parts, ""))
+    model, words = _trained(docs, labelled)
+    some = checkpointed(_numbered(docs, "source"))
+    verdicts = scored(_candidates(some.select("row", "doc_id", "path", "text")), model, words).groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "is_secret"))), lambda s: s["is_secret"]).alias("verdicts"))
+    gaps, found = _split(F.col("text"))
+    parts = F.transform(F.arrays_zip(gaps.alias("g"), found.alias("f"), F.col("verdicts").alias("v")), lambda x: F.concat(x["g"], F.when(x["v"], F.lit(MASK)).otherwise(F.coalesce(x["f"], F.lit("")))))
+    changed = some.join(verdicts, "row").select("doc", F.array_join(parts, "").alias("text"), F.exists("verdicts", lambda v: v).alias("any"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        any_ = F.exists("_verdicts", lambda v: v)
-        changed = changed.withColumn("n_chars", F.when(any_, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return docs.where(~has).unionByName(changed.select(*docs.columns))
+        new["n_chars"] = F.when(F.col("any"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    whole = changed.select(*(new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))
+    return docs.where(~_holds_candidate(F.col("text"))).unionByName(whole)
