@@ -27,8 +27,16 @@ STAGES = {
 
 
 def with_reasons(rows: DataFrame, reasons: dict[str, str] = REASONS) -> DataFrame:
-    """Add ``reasons``, the names of all failed predicates in order; a row without any is eligible."""
-    return rows.withColumn("reasons", F.array_compact(F.array(*(F.when(F.expr(test), name) for name, test in reasons.items()))))
+    """Add ``reasons``, the names of all failed predicates in order; a row without any is eligible. A predicate that is null fails."""
+    return rows.withColumn("reasons", F.array_compact(F.array(*(F.when(F.coalesce(F.expr(test), F.lit(True)), name) for name, test in reasons.items()))))
+
+
+def released(*ids: str) -> Column:
+    """Whether a row is direct, entailed build-split evidence of the first two levels whose ids aren't blank; null is no."""
+    named = F.lit(True)
+    for i in ids:
+        named = named & (F.trim(F.col(i).cast("string")) != "")
+    return F.coalesce(F.expr("split = 'build_train' AND level IN ('E1', 'E2') AND NOT inferred AND status = 'entailed'") & named, F.lit(False))
 
 
 def exclusions(rows: DataFrame, reasons: dict[str, str] = REASONS) -> DataFrame:

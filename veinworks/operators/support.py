@@ -18,8 +18,17 @@ def weight(column: Column, weights: dict[str, float]) -> Column:
 
 
 def heuristic_score(confidence: Column, level: Column, status: Column) -> Column:
-    """Confidence times the weights of level and status, to six places; unknown ones weigh nothing."""
-    return F.round(confidence * weight(level, LEVEL_WEIGHTS) * weight(status, STATUS_WEIGHTS), 6)
+    """Confidence times the weights of level and status, to six places; unknown ones weigh nothing.
+
+    Confidence is held between 0 and 1; null and NaN count as 0.
+    """
+    held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.isnan(confidence), F.lit(0.0)).otherwise(F.coalesce(confidence, F.lit(0.0)))))
+    return F.round(held * weight(level, LEVEL_WEIGHTS) * weight(status, STATUS_WEIGHTS), 6)
+
+
+def status_or_flag(status: Column, flag: Column) -> Column:
+    """The entailment status; where it is null, entailed or undetermined by the flag; empty where both are null."""
+    return F.coalesce(status, F.when(flag, "entailed").when(~flag, "undetermined"), F.lit(""))
 
 
 def with_score(assertions: DataFrame) -> DataFrame:

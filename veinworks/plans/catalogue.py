@@ -99,7 +99,7 @@ def multi_doc_audit(spark, sf_dir):
 
 # --- gates ------------------------------------------------------------------
 
-_REASONS = "list_filter([" + ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in gates.REASONS.items()) + "], lambda x: x IS NOT NULL)"
+_REASONS = "list_filter([" + ", ".join(f"CASE WHEN coalesce({test}, true) THEN '{name}' END" for name, test in gates.REASONS.items()) + "], lambda x: x IS NOT NULL)"
 
 
 @query(f"WITH {SCORED}, told AS (SELECT {_REASONS} AS reasons FROM scored) SELECT reason, count(*) AS rows, CAST(count_if(len(reasons) = 1) AS bigint) AS alone FROM (SELECT reasons, unnest(reasons) AS reason FROM told) GROUP BY reason")
@@ -425,10 +425,10 @@ def ppr_rounds(spark, sf_dir):
     return graph.pagerank(links, _seeds(links), 3).select("node", F.round(F.col("rank") + 1e-9, 6).alias("rank"))
 
 
-@query()
+@query(_ppr_sql(12).replace("0.15::double", "(1 - 0.85::double)"))
 def ppr(spark, sf_dir):
     links = edges(spark, sf_dir)
-    return graph.pagerank(links, _seeds(links), 30, tolerance=1e-6).select("node", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(links, _seeds(links), 12).select("node", F.round(F.col("rank") + 1e-9, 6).alias("rank"))
 
 
 _DENSE = """d AS (SELECT q.vec_id AS query_id, e.vec_id AS evidence_id, round(list_inner_product(q.embedding::double[], e.embedding::double[]), 6) AS score, e.label, q.label AS asked
