@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,25 +36,29 @@ def dice(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(2.0 * F.size(F.array_intersect(a, b)), F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(a) + F.size(b))), F.lit(0.0))
 
 
-def words(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, token, tf, length): the term table of a corpus."""
-    each = rows.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))).alias("token"))
-    return each.groupBy(key, "token").agg(F.count("*").alias("tf"))
+def tokens(text: Column) -> Column:
+    """All runs of Latin letters and digits, lower case; none for a null text."""
+    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)), F.array().cast("array<string>"))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).distinct()
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The ``k`` best documents of each query by BM25 over postings: query_id, rank, doc_id, score.
 
-    The term table is cut to query terms by a semi join before lengths are joined to it.
+    A document is a row; its length is known inside it. Its tokens meet the query terms before anything is shuffled
+    (the terms are broadcast where their size allows), so only postings of query terms are counted.
     """
-    terms = words(corpus, "doc_id")
-    lengths = terms.groupBy("doc_id").agg(F.sum("tf").alias("length"))
-    size = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    asked = words(queries, "query_id").select("query_id", "token")
-    postings = terms.join(asked.select("token").distinct(), "token", "left_semi")
+    rows = corpus.select("doc_id", tokens(F.col("text")).alias("_t")).withColumn("length", F.size("_t")).where("length > 0")
+    size = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    asked = _asked(queries)
+    each = rows.select("doc_id", "length", F.explode("_t").alias("token"))
+    postings = each.join(asked.select("token").distinct(), "token").groupBy("doc_id", "length", "token").agg(F.count("*").alias("tf"))
     df = postings.groupBy("token").agg(F.count("*").alias("df"))
     # n and mean are one row
-    weighed = postings.join(df, "token").join(lengths, "doc_id").join(F.broadcast(size))
+    weighed = postings.join(df, "token").join(F.broadcast(size))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     scored = asked.join(weighed.select("doc_id", "token", part.alias("part")), "token").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
@@ -62,14 +68,18 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: floa
 
 def postings_hits(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` documents of each query that hold most of its distinct tokens: query_id, rank, doc_id, hits."""
-    hits = words(queries, "query_id").select("query_id", "token").join(words(corpus, "doc_id").select("doc_id", "token"), "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
+    held = corpus.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    hits = held.join(_asked(queries), "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), F.desc("doc_id")))).where(F.col("rank") <= k)
 
 
 def simhash(rows: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 60) -> DataFrame:
-    """(key, hash): each bit is set where its token counts, signed by the bits of the tokens' MD5, sum to 0 or more."""
-    terms = words(rows, key, text).withColumn("_h", F.conv(F.substring(F.md5("token"), 1, 15), 16, 10).cast("long"))
-    sums = terms.groupBy(key).agg(*(F.sum(F.when(F.shiftright("_h", i).bitwiseAND(F.lit(1)) == 1, F.col("tf")).otherwise(-F.col("tf"))).alias(f"_{i}") for i in range(bits)))
+    """(key, hash): each bit is set where its tokens, signed by the bits of their MD5, sum to 0 or more.
+
+    A row's tokens lie together, so the sums are made before the shuffle, which moves one row of sums per document.
+    """
+    each = rows.select(key, F.explode(tokens(F.col(text))).alias("token")).select(key, F.conv(F.substring(F.md5("token"), 1, 15), 16, 10).cast("long").alias("_h"))
+    sums = each.groupBy(key).agg(*(F.sum(F.shiftright("_h", i).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"_{i}") for i in range(bits)))
     total = F.lit(0).cast("long")
     for i in range(bits):
         total = total + F.when(F.col(f"_{i}") >= 0, 1 << i).otherwise(0)
@@ -79,14 +89,17 @@ def simhash(rows: DataFrame, key: str = "doc_id", text: str = "text", bits: int
 def near_hashes(hashes: DataFrame, distance: int = 3, key: str = "doc_id") -> DataFrame:
     """Pairs of different hashes within ``distance`` (at most 3) of 60 bits, with the number of rows of each.
 
-    Equal hashes are first counted, so copies are not paired; of four bands of 15 bits, one is equal in every such pair.
+    Equal hashes are first counted, so copies are not paired. Of six blocks of ten bits, three are equal in every such
+    pair; each choice of three makes a key of 30 bits, which stays selective for many hashes.
     """
     counted = hashes.groupBy("hash").agg(F.count("*").alias("rows"))
-    banded = counted.select("hash", "rows", F.posexplode(F.array(*(F.shiftright("hash", 15 * i).bitwiseAND(F.lit(32767)) for i in range(4)))).alias("band", "value"))
+    block = lambda i: F.shiftright("hash", 10 * i).bitwiseAND(F.lit(1023))
+    keys = F.array(*(F.shiftleft(block(x), 20).bitwiseOR(F.shiftleft(block(y), 10)).bitwiseOR(block(z)) for x, y, z in combinations(range(6), 3)))
+    banded = counted.select("hash", "rows", F.posexplode(keys).alias("band", "value"))
     other = banded.select(F.col("hash").alias("other"), F.col("rows").alias("other_rows"), "band", "value")
-    pairs = banded.join(other, ["band", "value"]).where(F.col("hash") < F.col("other"))
     away = F.bit_count(F.col("hash").bitwiseXOR(F.col("other")))
-    return pairs.withColumn("distance", away).where(F.col("distance") <= distance).select("hash", "other", "rows", "other_rows", "distance").distinct()
+    pairs = banded.join(other, ["band", "value"]).where((F.col("hash") < F.col("other")) & (away <= distance))
+    return pairs.withColumn("distance", away).select("hash", "other", "rows", "other_rows", "distance").distinct()
 
 
 def capped(pages: DataFrame, per_family: int, per_group: int) -> DataFrame:
