@@ -57,12 +57,12 @@ SCORED = (
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Undirected links (a, b) between suppliers and parts of large line items, each once in either direction."""
-    pairs = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.concat(F.lit("S-"), "l_suppkey").alias("a"), F.concat(F.lit("P-"), "l_partkey").alias("b")).distinct()
+    """Undirected links (a, b) between suppliers and parts of line items, each once in either direction."""
+    pairs = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("S-"), "l_suppkey").alias("a"), F.concat(F.lit("P-"), "l_partkey").alias("b")).distinct()
     return pairs.union(pairs.select("b", "a"))
 
 
-EDGES = """pairs AS (SELECT DISTINCT concat('S-', l_suppkey) AS a, concat('P-', l_partkey) AS b FROM lineitem WHERE l_quantity >= 49),
+EDGES = """pairs AS (SELECT DISTINCT concat('S-', l_suppkey) AS a, concat('P-', l_partkey) AS b FROM lineitem),
 edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs)"""
 
 
