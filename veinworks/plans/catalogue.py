@@ -254,14 +254,14 @@ def release_projection(spark, sf_dir):
 
 
 _PATHS = [(r, t, f"S{k}", r % 4) for r in range(15) for t, k in (("ECONOMY", r % 5), ("LARGE", (r + 1) % 5), ("PROMO", (r + 2) % 5))]
-_CQ = f"""WITH claims AS (SELECT DISTINCT l_partkey AS head, l_suppkey AS tail FROM lineitem WHERE l_quantity >= 40),
+_CQ = f"""WITH claims AS (SELECT DISTINCT l_partkey AS head, l_suppkey AS tail FROM lineitem),
 typed AS (SELECT head, tail, p_size % 15 AS relation, p_type AS head_type, concat('S', s_nationkey % 5) AS tail_type, head % 10 AS fault_id FROM claims JOIN part ON p_partkey = head JOIN supplier ON s_suppkey = tail),
 paths(relation, head_type, tail_type, role) AS (VALUES {", ".join(f"({r}, '{h}', '{t}', {o})" for r, h, t, o in _PATHS)}),
 answers AS (SELECT fault_id, role, head, tail FROM typed JOIN paths USING (relation, head_type, tail_type))"""
 
 
 def _answers(spark, sf_dir):
-    claims = table(spark, sf_dir, "lineitem").where("l_quantity >= 40").select(F.col("l_partkey").alias("h"), F.col("l_suppkey").alias("t")).distinct()
+    claims = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("h"), F.col("l_suppkey").alias("t")).distinct()
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("h"), (F.col("p_size") % 15).alias("relation"), F.col("p_type").alias("type"))
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("t"), F.concat(F.lit("S"), F.col("s_nationkey") % 5).alias("type"))
     entities = parts.select(F.concat(F.lit("P"), "h").alias("entity"), "type").union(suppliers.select(F.concat(F.lit("S"), "t"), "type"))
@@ -503,7 +503,7 @@ def endpoint_overlap(spark, sf_dir):
     return top.join(other, "query_id").where("rank < _r").groupBy("query_id").agg(F.round(F.avg(overlap), 6).alias("overlap"), F.count("*").alias("pairs"))
 
 
-_RELATED = f"""{ASSERTIONS}, n AS (SELECT i.item_id AS query_id, a.evidence_id, a.confidence, a.fault_id = i.item_id % 10 AS same_fault, a.role = i.item_id % 4 AS same_role, a.family_id = i.item_id % 25 AS relevant FROM benchmark i JOIN assertions a ON a.claim_id % 40 = i.item_id % 40)"""
+_RELATED = f"""{ASSERTIONS}, n AS (SELECT i.item_id AS query_id, a.evidence_id, a.confidence, a.fault_id = i.item_id % 10 AS same_fault, a.role = i.item_id % 4 AS same_role, a.family_id = i.item_id % 25 AS relevant FROM benchmark i CROSS JOIN assertions a)"""
 
 
 @query(f"WITH {_RELATED} SELECT query_id, evidence_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY same_fault AND same_role DESC, same_role DESC, confidence DESC, evidence_id DESC) AS rank FROM n WHERE NOT relevant) WHERE rank <= 15")
