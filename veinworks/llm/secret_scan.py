@@ -78,7 +78,7 @@ def dictionary(docs: DataFrame, common: float = COMMON) -> DataFrame:
     """The words (``word``, lower-case Latin letters) that at least ``common`` of all documents hold, and five at least; at most (mean words per document) / common rows."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z]{{{WORD_LENGTH},20}}"), F.lit(0)))
     held = docs.where("text is not null").select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return held.join(docs.agg(F.greatest(F.lit(5.0), F.count("*") * common).alias("_least")), F.col("n") >= F.col("_least")).select("word")
+    return held.where(F.col("n") >= max(5, docs.count() * common)).select("word")
 
 
 def _with_coverage(findings: DataFrame, words: DataFrame | None) -> DataFrame:
