@@ -1,4 +1,4 @@
-"""Validation of extracted relations: types, directions, classes, spans, entailment cues and names."""
+"""Validation of extracted relations: types, directions, classes, spans and names."""
 
 from __future__ import annotations
 
