@@ -14,8 +14,8 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "evidence_id") -> DataFrame:
-    """The ``k`` best rows of each query with their rank; ties go to the least id."""
+def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str | Column = "evidence_id") -> DataFrame:
+    """The ``k`` best rows of each query with their rank; ties go to the first by ``tie``, the least id by default."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), tie))).where(F.col("rank") <= k)
 
 
@@ -41,12 +41,21 @@ def hybrid(pool: DataFrame, k: int, lexical: float = 0.65, role: float = 0.25, c
     return top_k(pool.withColumn("score", score), k)
 
 
-def select(pool: DataFrame, k: int, family_cap: int = 2, bonus: float = 0.1, penalty: float = 0.2, minimum: float | None = None) -> DataFrame:
+def _overlap(a: dict, b: dict) -> float:
+    """1 for rows of one claim, else the Jaccard similarity of their ends where the pool has them."""
+    if a["claim_id"] == b["claim_id"]:
+        return 1.0
+    x, y = set(a.get("ends", ())), set(b.get("ends", ()))
+    return len(x & y) / max(1, len(x | y))
+
+
+def select(pool: DataFrame, k: int, family_cap: int | None = 2, bonus: float = 0.1, penalty: float = 0.2, minimum: float | None = None) -> DataFrame:
     """The budgeted greedy choice per query over ranked rows (query_id, rank, evidence_id, family_id, claim_id, score).
 
-    In each step the row of largest gain is taken: score, plus ``bonus`` for a new family, less ``penalty`` if a
-    taken row has its claim; families at the cap are skipped, and ties go to the earlier rank. Pools are top-k
-    lists, so a group's size is bounded by the k that made them.
+    In each step the row of largest gain is taken: score, plus ``bonus`` for a new family, less ``penalty`` times the
+    largest overlap with a taken row (1 if they share the claim, else the Jaccard similarity of the arrays ``ends``, if
+    the pool has them); families at the cap are skipped, and ties go to the earlier rank. Without a cap there is no bonus
+    either. Pools are top-k lists, so a group's size is bounded by the k that made them.
     """
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -54,12 +63,12 @@ def select(pool: DataFrame, k: int, family_cap: int = 2, bonus: float = 0.1, pen
         taken: list[dict] = []
         while rows and len(taken) < k:
             families = [r["family_id"] for r in taken]
-            claims = {r["claim_id"] for r in taken}
             best, best_gain = None, None
             for r in rows:
-                if families.count(r["family_id"]) >= family_cap:
+                if family_cap is not None and families.count(r["family_id"]) >= family_cap:
                     continue
-                gain = round(r["score"] + bonus * (r["family_id"] not in families) - penalty * (r["claim_id"] in claims), 9)
+                new = family_cap is not None and r["family_id"] not in families
+                gain = round(r["score"] + bonus * new - penalty * max((_overlap(r, t) for t in taken), default=0.0), 9)
                 if best is None or gain > best_gain:
                     best, best_gain = r, gain
             if best is None or minimum is not None and best_gain < minimum:

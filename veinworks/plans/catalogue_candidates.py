@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veinworks.operators import candidates
+from veinworks.operators import candidates, hybrid, retrieval
 from veinworks.plans.bindings import table
 from veinworks.plans.catalogue import query
 
@@ -103,3 +103,93 @@ def validated_candidates(spark, sf_dir):
     kinds = [("causes", ["cause"], ["fault"]), ("indicates", ["symptom"], ["fault"]), ("detects", ["method"], ["fault"]), ("mitigates", ["action"], ["fault"])]
     constraints = spark.createDataFrame(kinds, "relation string, heads array<string>, tails array<string>")
     return candidates.validated(rows, _cells(rows), constraints, _RULES, _CUES).withColumn("reasons", F.array_join("reasons", ","))
+
+
+# --- hybrid retrieval: embeddings as evidence on a chain of nodes, every twentieth a query ---------
+
+_EVIDENCE_FIELDS = {
+    "evidence_id": "vec_id",
+    "head_id": "'H' || CAST(floor(vec_id / 5) AS bigint)",
+    "tail_id": "'T' || CAST(floor((vec_id + 3) / 7) AS bigint)",
+    "head_label": "'part' || vec_id % 97",
+    "tail_label": "'unit' || vec_id % 89",
+    "role": "CAST(label AS bigint)",
+    "family_id": "vec_id % 7",
+    "claim_id": "vec_id % 11",
+    "confidence": "CAST(vec_id % 10 AS double) / 10",
+}
+_QUERY_FIELDS = {"query_id": "vec_id", "role": "CASE WHEN vec_id % 60 = 0 THEN 99 ELSE CAST(label AS bigint) END", "fault_name": "'part' || vec_id % 13"}
+_HITS, _ANCHORS, _FLOOR, _ROUNDS = 20, 4, 0.4, 3
+
+
+def _nodes_sql(pool: str) -> str:
+    """Steps of a query's walk, one common table expression each."""
+    parts = [
+        f"a0 AS (SELECT query_id, node, CAST(max(dense) AS double) AS best, CAST(sum(dense) AS double) AS total FROM (SELECT query_id, greatest(dense, 0) AS dense, unnest([head_id, tail_id]) AS node FROM hits JOIN ev USING (evidence_id) WHERE rank <= {_ANCHORS}) GROUP BY ALL)",
+        "edges AS (SELECT DISTINCT head_id AS a, tail_id AS b FROM ev UNION SELECT DISTINCT tail_id, head_id FROM ev)",
+    ]
+    if pool == "spread":
+        parts.append("deg AS (SELECT a, count(*) AS d FROM edges GROUP BY a), start AS (SELECT query_id, node, total / sum(total) OVER (PARTITION BY query_id) AS s FROM a0), e0 AS (SELECT query_id, node, s AS energy FROM start)")
+        for i in range(1, _ROUNDS + 1):
+            parts.append(f"e{i} AS (SELECT query_id, node, sum(energy) AS energy FROM (SELECT query_id, b AS node, 0.85::double * energy / d AS energy FROM e{i - 1} JOIN edges ON a = node JOIN deg USING (a) UNION ALL SELECT query_id, node, (1 - 0.85::double) * s FROM start) GROUP BY ALL)")
+        last = f"e{_ROUNDS}"
+        parts.append(f"nodes AS (SELECT query_id, node, 0.0::double AS score FROM {last} JOIN (SELECT query_id, avg(energy) + 0.5 * stddev_pop(energy) AS least FROM {last} GROUP BY query_id) USING (query_id) WHERE energy >= least UNION SELECT query_id, node, 0.0::double FROM a0)")
+    else:
+        parts.append("near AS (SELECT query_id, b AS node, max(best) * 0.7::double AS score FROM a0 JOIN edges ON a = node GROUP BY ALL), nodes AS (SELECT query_id, node, max(score) AS score FROM (SELECT query_id, node, best AS score FROM a0 UNION ALL FROM near) GROUP BY ALL)")
+    parts.append("met AS (SELECT query_id, evidence_id, max(score) AS graph FROM nodes JOIN (SELECT evidence_id, unnest([head_id, tail_id]) AS node FROM ev) USING (node) GROUP BY ALL)")
+    return ", ".join(parts)
+
+
+def _retrieved_sql(m: hybrid.Method) -> str:
+    columns = lambda fields: ", ".join(f"{e} AS {n}" for n, e in fields.items())
+    parts = [
+        f"ev AS (SELECT {columns(_EVIDENCE_FIELDS)} FROM embeddings), asked AS (SELECT {columns(_QUERY_FIELDS)} FROM embeddings WHERE vec_id % 20 = 0)",
+        "d AS (SELECT q.vec_id AS query_id, e.vec_id AS evidence_id, round(list_inner_product(q.embedding::double[], e.embedding::double[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)",
+        f"hits AS (SELECT query_id, evidence_id, floor(score * 10000) / 10000 AS dense, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, evidence_id) AS rank FROM d) WHERE rank <= {_HITS})",
+    ]
+    if m.pool == "hits":
+        parts.append("pool AS (SELECT query_id, evidence_id, dense, 0.0::double AS graph FROM hits)")
+    elif m.pool == "near":
+        parts += [_nodes_sql(m.pool), "pool AS (SELECT query_id, evidence_id, coalesce(dense, 0) AS dense, coalesce(graph, 0) AS graph FROM hits FULL JOIN met USING (query_id, evidence_id))"]
+    else:
+        parts += [_nodes_sql(m.pool), "pool AS (SELECT query_id, evidence_id, coalesce(dense, 0) AS dense, 0.0::double AS graph FROM met LEFT JOIN hits USING (query_id, evidence_id))"]
+    pairs = "list_transform(range(1, length({0})), lambda i: substr({0}, i, 2))"
+    distinct = lambda c: f"list_distinct({pairs.format(c)})"
+    likeness = lambda c: f"2.0::double * len(list_intersect({distinct('fault_name')}, {distinct(c)})) / (len({distinct('fault_name')}) + len({distinct(c)}))"
+    like = f"greatest({likeness('head_label')}, {likeness('tail_label')})" if m.affinity else "0.0::double"
+    weight = "0.2::double" if m.affinity else "0.0::double"
+    gate = "WHERE ev.role = asked.role OR NOT bool_or(ev.role = asked.role) OVER (PARTITION BY query_id)" if m.role_gate else ""
+    gate = gate.replace("WHERE", "QUALIFY")
+    floor = f"WHERE likeness >= {_FLOOR}" if m.affinity else ""
+    parts.append(f"g AS (SELECT query_id, evidence_id, dense, graph, confidence, family_id, claim_id, head_id, tail_id, {like} AS likeness FROM pool JOIN ev USING (evidence_id) JOIN asked USING (query_id) {gate})")
+    parts.append(f"s AS (SELECT *, round(dense + 0.12::double * graph + 0.1::double * confidence + {weight} * likeness + 1e-9, 6) AS score FROM g {floor})")
+    parts.append("ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, evidence_id DESC) AS rank FROM s)")
+    if not m.greedy:
+        return f"WITH {', '.join(parts)} SELECT query_id, rank AS position, evidence_id, score FROM ranked WHERE rank <= 3"
+    overlap = lambda t: f"CASE WHEN p.claim_id = {t}.claim_id THEN 1.0::double ELSE ((p.head_id = {t}.head_id)::int + (p.tail_id = {t}.tail_id)::int)::double / (4 - (p.head_id = {t}.head_id)::int - (p.tail_id = {t}.tail_id)::int) END"
+    bonus, penalty = ("0.1::double" if m.families else "0.0::double"), ("0.2::double" if m.redundancy else "0.0::double")
+    best = lambda rows: f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, rank) AS n FROM {rows}) WHERE n = 1)"
+    cap = "AND NOT (t1.family_id = t2.family_id AND p.family_id = t1.family_id)" if m.families else ""
+    parts.append(f"t1 AS (SELECT *, round(score + {bonus}, 9) AS gain FROM ranked WHERE rank = 1)")
+    parts.append(f"g2 AS (SELECT p.*, round(p.score + CASE WHEN p.family_id <> t1.family_id THEN {bonus} ELSE 0 END - {penalty} * ({overlap('t1')}), 9) AS gain FROM ranked p JOIN t1 USING (query_id) WHERE p.evidence_id <> t1.evidence_id), t2 AS {best('g2')}")
+    parts.append(f"g3 AS (SELECT p.*, round(p.score + CASE WHEN p.family_id <> t1.family_id AND p.family_id <> t2.family_id THEN {bonus} ELSE 0 END - {penalty} * greatest({overlap('t1')}, {overlap('t2')}), 9) AS gain FROM ranked p JOIN t1 USING (query_id) JOIN t2 USING (query_id) WHERE p.evidence_id NOT IN (t1.evidence_id, t2.evidence_id) {cap}), t3 AS {best('g3')}")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT query_id, CAST({i} AS bigint) AS position, evidence_id, round(gain, 6) AS score FROM t{i}" for i in (1, 2, 3))
+
+
+def _retrieval(name: str, method: hybrid.Method):
+    def run(spark, sf_dir):
+        vectors = table(spark, sf_dir, "embeddings")
+        evidence = vectors.selectExpr(*(f"{e} AS {n}" for n, e in _EVIDENCE_FIELDS.items()))
+        queries = vectors.where("vec_id % 20 = 0")
+        dense = retrieval.dense(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), vectors.select(F.col("vec_id").alias("evidence_id"), F.col("embedding").alias("vector")), _HITS)
+        # four places, so that no weighted score lies half way between two roundings
+        hits = dense.select("query_id", "evidence_id", (F.floor(F.col("score") * 10000) / 10000).alias("dense"), "rank")
+        asked = queries.selectExpr(*(f"{e} AS {n}" for n, e in _QUERY_FIELDS.items()))
+        return hybrid.retrieved(asked, hits, evidence, method, 3, scored=1000, affinity_floor=_FLOOR, anchor_count=_ANCHORS, rounds=_ROUNDS)
+
+    run.__name__ = f"retrieve_{name}"
+    return query(_retrieved_sql(method))(run)
+
+
+for _name, _method in hybrid.METHODS.items():
+    _retrieval(_name, _method)
