@@ -326,7 +326,7 @@ def test_decontamination_against_brute_force(spark):
         w = word_list(t)
         for i, item in enumerate(items):
             n = len(word_list(item))
-            if n and any(similarity(weights(" ".join(w[k : k + n])), weights(item)) >= 0.8 for k in range(max(1, len(w) - n + 1))):
+            if n and any(similarity(weights(" ".join(w[max(k, 0) : max(k + n, 0)])), weights(item)) >= 0.8 for k in range(1 - n, len(w))):
                 want.add((d, i))
     assert set(got) == want
     clean = decontam.decontaminated(docs(spark, list(enumerate(texts))), benchmark)
@@ -350,12 +350,39 @@ def test_index_finds_every_fingerprint_within_the_radius():
         assert near <= found
 
 
+def test_edited_and_cut_occurrences_are_found():
+    """All that reach 0.8 of items of under 45 words, and at least 99 % of longer ones."""
+    r = random.Random(11)
+    planted = []
+    for n in (*range(5, 60), 80, 120):
+        item = [r.choice(WORDS) for _ in range(n)]
+        for k in range(24):
+            part = list(item)
+            for _ in range(r.choice((1, 2, 3))):
+                place = r.choice((r.randrange(len(part)), 0, len(part) - 1, 1, len(part) - 2))
+                what = r.choice("rid")
+                part[place : place + (what != "i")] = [] if what == "d" else [f"new{r.random()}"] + ([] if what == "r" else part[place : place])
+                if len(part) < 3:
+                    break
+            cut = r.randrange(1 + n // 5)
+            before, after = ["pad"] * r.randrange(9), ["pad"] * r.randrange(9)
+            text = {0: part[cut:] + after, 1: before + part[: len(part) - cut]}.get(k % 4, before + part + after)
+            whole = weights(" ".join(item))
+            if any(similarity(weights(" ".join(text[max(a, 0) : max(a + n, 0)])), whole) >= 0.8 for a in range(1 - n, len(text))):
+                planted.append((n, item, text))
+    missed = [n for n, item, text in planted if not decontam.Index([0], [" ".join(item)]).matches(pa.array([" ".join(text)]), 0.8)]
+    assert len(planted) > 300
+    assert not [n for n in missed if n < 45] and len(missed) <= len(planted) // 100
+
+
 def test_sliced_benchmarks_match_whole_ones(spark, monkeypatch):
     items = spark.createDataFrame([(i, prose(20, i)) for i in range(9)], "item_id long, text string")
     some = docs(spark, [(i, prose(10, 50 + i) + " " + prose(20, i)) for i in range(9)])
     whole = rows_of(decontam.matches(some, items), "doc_id", "item_id")
     monkeypatch.setattr(decontam, "SLICE_ITEMS", 2)
     assert rows_of(decontam.matches(some, items), "doc_id", "item_id") == whole == [(i, i) for i in range(9)]
+    left = decontam.decontaminated(docs(spark, [(5, prose(30, 77)), *((i, prose(20, i)) for i in range(9)), (None, None), (5, prose(30, 77))]), items)
+    assert left.columns == docs(spark).columns and rows_of(left, "doc_id", "text") == [(5, prose(30, 77)), (5, prose(30, 77)), (None, None)]
 
 
 # --- quality ----------------------------------------------------------------

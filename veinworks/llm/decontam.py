@@ -3,12 +3,17 @@
 Words are hashed as in ``shingles``. A window's SimHash has a bit for each of
 the 64 bits of its words' hashes: whether more than half of the words have it.
 
-Documents are cut into blocks of ``g`` words (8; fewer for items of under 15
-words), and windows are runs of whole blocks. An item of L words is looked for
-in windows of the largest number of whole blocks that an occurrence of it must
-hold wherever it starts, W = g * ((L - g + 1) // g) words; of the item, the g
-sub-windows of W words at the offsets 0 to g - 1 are indexed. An unchanged
-occurrence thus has a window that equals one of them bit for bit.
+Documents are cut into blocks of ``g`` words (8; fewer for short items), and
+windows are runs of whole blocks. Words at the ends of an occurrence may be
+edited, or cut off by the document's end: at a similarity of 0.8, an item of n
+shingles that don't repeat loses at most n / 5 of them, and a word at an end
+takes one with it, so R = L - floor(n / 5) of the item's L words in a row are
+unchanged. They hold a window of W = g * ((R - g + 1) // g) words wherever the
+occurrence starts. All sub-windows of W words of the item are indexed, so such
+an occurrence has a window that equals one of them bit for bit. An edit
+further inside costs five shingles and more, which only items of 41 shingles
+(45 words) and more survive; there, the windows beside the edit or those within
+the radius find it.
 
 The index cuts a fingerprint into four blocks of 16 bits and lists, for each
 value, the fingerprints within two bits in that block. Two fingerprints within
@@ -17,13 +22,15 @@ found. Candidates within the radius are verified: the item's weighted shingles
 against those of the L words from where the occurrence would start, by exact
 probability Jaccard similarity of 0.8 or more.
 
-The benchmark is dealt into slices of about ``SLICE_ITEMS`` items by a hash;
-the index of one slice is broadcast at a time (its size is bounded by the
-slice), and each slice scans the documents once.
+The benchmark is dealt into slices of about ``SLICE_ITEMS`` items by a hash.
+The index of a slice is broadcast (its size is bounded by the slice), and each
+slice scans the documents once. With several slices, what one finds is written
+before the next is built, so that one index at a time is held.
 
 Defined cases: null texts count as empty; an item without words matches
-nothing, one of one to four words matches those words in a row; documents,
-items and rows that repeat each give their matches; null ids are carried;
+nothing, one of one to four words matches those words in a row; documents that
+repeat each give their matches, and so do items of equal text and other ids,
+but equal rows of the benchmark count once; null ids are carried;
 empty tables give no matches; other columns are kept by ``decontaminated`` and
 ignored by ``matches``.
 """
@@ -40,11 +47,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veinworks.llm import shingles as S
+from veinworks.llm.storage import checkpointed
 
 THRESHOLD = 0.8
+#: At a similarity of THRESHOLD, an occurrence lacks at most one of so many shingles of its item.
+LOSS = 5
 RADIUS, BLOCK_RADIUS, BLOCKS = 11, 2, 4
 GRID = 8
-SLICE_ITEMS = 2000
+SLICE_ITEMS = 1000
 MATCHES = "doc_id long, item_id long, word_start long, n_words long, similarity double"
 
 
@@ -74,11 +84,12 @@ class Index:
         found: dict[tuple[int, int], list] = {}
         for i, n in enumerate(self.length.tolist()):
             if n:
-                g = next(x for x in (GRID, 4, 2, 1) if n >= 2 * x - 1)
-                size = g * ((n - g + 1) // g)
+                run = n - max(0, n - S.SIZE + 1) // LOSS
+                g = next(x for x in (GRID, 4, 2, 1) if run >= 2 * x - 1)
+                size = g * ((run - g + 1) // g)
                 bits = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_bits(word[at[i] : at[i] + n]), axis=0, dtype=np.int32)])
-                own = _fingerprints(bits[size : size + g] - bits[:g], size)
-                found.setdefault((g, size), []).append((own, np.full(g, i), np.arange(g)))
+                own = _fingerprints(bits[size:] - bits[:-size], size)
+                found.setdefault((g, size), []).append((own, np.full(len(own), i), np.arange(len(own))))
         self.classes = {}
         near = _near_values()
         for key, parts in found.items():
@@ -128,7 +139,15 @@ class Index:
         if not found:
             return []
         row, item, start = np.unique(np.concatenate(found, axis=1), axis=1)
+        # at a document's ends, a window that starts elsewhere may be shorter and hold fewer edited words
+        room = np.maximum(0, self.length[item] - S.SIZE + 1) // LOSS
+        near_end = (start < room) | (start + self.length[item] + room > np.diff(at)[row])
+        tries = np.where(near_end, 2 * room + 1, 1)
+        shift = np.arange(tries.sum()) - np.repeat(np.cumsum(tries) - tries + tries // 2, tries)
+        row, item, start = np.unique(np.stack([np.repeat(row, tries), np.repeat(item, tries), np.repeat(start, tries) + shift]), axis=1)
         low, high = np.maximum(start, 0), np.minimum(start + self.length[item], np.diff(at)[row])
+        whole = low < high
+        row, item, low, high = row[whole], item[whole], low[whole], high[whole]
         # a window that shares no shingle with any item cannot be similar to one; windows of under five words are not looked up
         shingle, edges = S.shingled(word, at)
         place = np.minimum(np.searchsorted(self.any_item, shingle), len(self.any_item) - 1)
@@ -150,21 +169,33 @@ class Index:
         return best
 
 
-def _indexes(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Index]:
+def _indexes(benchmark: DataFrame, item_id: str, text: str) -> tuple[int, Iterator[Index]]:
+    """The number of slices, and their indexes as they are asked for."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where("text is not null").distinct()
     slices = max(1, -(-items.count() // SLICE_ITEMS))
-    for k in range(slices):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).orderBy("item_id", "text").collect()
-        if rows:
-            yield Index([r["item_id"] for r in rows], [r["text"] for r in rows])
+
+    def built() -> Iterator[Index]:
+        for k in range(slices):
+            rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).orderBy("item_id", "text").collect()
+            if rows:
+                yield Index([r["item_id"] for r in rows], [r["text"] for r in rows])
+
+    return slices, built()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per occurrence: doc_id, item_id, word_start, n_words and similarity."""
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    spark = docs.sparkSession
-    out = spark.createDataFrame([], MATCHES)
-    for index in _indexes(benchmark, "item_id", "text"):
+    found = _found(rows, benchmark, threshold)
+    return found if found is not None else docs.sparkSession.createDataFrame([], MATCHES)
+
+
+def _found(rows: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame | None:
+    """The matches of rows (_id, _text), slice by slice; none without items."""
+    spark = rows.sparkSession
+    out = None
+    slices, indexes = _indexes(benchmark, "item_id", "text")
+    for index in indexes:
         shared = spark.sparkContext.broadcast(index)
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -176,14 +207,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
                         t, i, low, n, similar = zip(*found, strict=True)
                         yield pa.RecordBatch.from_arrays([pa.array([ids[at + x] for x in t], pa.int64()), pa.array([own.ids[x] for x in i], pa.int64()), pa.array(low, pa.int64()), pa.array(n, pa.int64()), pa.array(similar, pa.float64())], names=["doc_id", "item_id", "word_start", "n_words", "similarity"])
 
-        out = out.unionByName(rows.mapInArrow(find, MATCHES))
+        own = rows.mapInArrow(find, MATCHES)
+        if slices > 1:
+            own = checkpointed(own)
+            shared.destroy()
+        out = own if out is None else out.unionByName(own)
     return out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no item of ``benchmark`` occurs. No shuffle."""
+    """The rows of ``docs``, with all their columns, in which no item of ``benchmark`` occurs.
+
+    One slice needs no shuffle; for several, the rows are numbered and written once, and those found are left out at the end.
+    """
     spark = docs.sparkSession
-    for index in _indexes(benchmark, "item_id", "text"):
+    slices, indexes = _indexes(benchmark, "item_id", "text")
+    if slices > 1:
+        placed = checkpointed(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
+        rows = placed.select(F.col("row").alias("_id"), F.coalesce(F.col("doc")[text], F.lit("")).alias("_text"))
+        found = _found(rows, benchmark, threshold).select(F.col("doc_id").alias("row"))
+        return placed.join(found, "row", "left_anti").select("doc.*")
+    for index in indexes:
         shared = spark.sparkContext.broadcast(index)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
