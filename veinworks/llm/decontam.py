@@ -71,6 +71,15 @@ def _fingerprints(counts: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(counts * 2 > words, axis=1).view(np.uint64).ravel()
 
 
+def _distinct(row: np.ndarray, item: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct triples in ascending order."""
+    order = np.lexsort((start, item, row))
+    row, item, start = row[order], item[order], start[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] != start[:-1])
+    return row[new], item[new], start[new]
+
+
 class Index:
     """The items of one slice: their fingerprints by grid and window size, and their weighted shingles."""
 
@@ -138,24 +147,26 @@ class Index:
         found = [np.stack(x) for x in self.candidates(word, at)]
         if not found:
             return []
-        row, item, start = np.unique(np.concatenate(found, axis=1), axis=1)
-        # at a document's ends, a window that starts elsewhere may be shorter and hold fewer edited words
-        room = np.maximum(0, self.length[item] - S.SIZE + 1) // LOSS
-        near_end = (start < room) | (start + self.length[item] + room > np.diff(at)[row])
-        tries = np.where(near_end, 2 * room + 1, 1)
-        shift = np.arange(tries.sum()) - np.repeat(np.cumsum(tries) - tries + tries // 2, tries)
-        row, item, start = np.unique(np.stack([np.repeat(row, tries), np.repeat(item, tries), np.repeat(start, tries) + shift]), axis=1)
-        low, high = np.maximum(start, 0), np.minimum(start + self.length[item], np.diff(at)[row])
-        whole = low < high
-        row, item, low, high = row[whole], item[whole], low[whole], high[whole]
+        row, item, start = np.concatenate(found, axis=1)
+        n = np.diff(at)
         # a window that shares no shingle with any item cannot be similar to one; windows of under five words are not looked up
         shingle, edges = S.shingled(word, at)
         place = np.minimum(np.searchsorted(self.any_item, shingle), len(self.any_item) - 1)
         shared = np.concatenate([[0], np.cumsum(self.any_item[place] == shingle)])
+        room = np.maximum(0, self.length - S.SIZE + 1) // LOSS
+        low, high = np.maximum(start - room[item], 0), np.minimum(start + self.length[item] + room[item], n[row])
         first = edges[row] + low
-        hopeful = (high - low < S.SIZE) | (shared[np.minimum(first + high - low - S.SIZE + 1, edges[row + 1])] > shared[np.minimum(first, edges[row + 1])])
+        hopeful = (high - low < 2 * S.SIZE) | (shared[np.minimum(first + high - low - S.SIZE + 1, edges[row + 1])] > shared[np.minimum(first, edges[row + 1])])
+        row, item, start = _distinct(row[hopeful], item[hopeful], start[hopeful])
+        # at a document's ends, a window that starts elsewhere may be shorter and hold fewer edited words
+        near_end = (start < room[item]) | (start + self.length[item] + room[item] > n[row])
+        tries = np.where(near_end, 2 * room[item] + 1, 1)
+        shift = np.arange(tries.sum()) - np.repeat(np.cumsum(tries) - tries + tries // 2, tries)
+        row, item, start = _distinct(np.repeat(row, tries), np.repeat(item, tries), np.repeat(start, tries) + shift)
+        low, high = np.maximum(start, 0), np.minimum(start + self.length[item], n[row])
+        whole = low < high
         best: list[tuple[int, int, int, int, float]] = []
-        for t, i, low, high in np.stack([row, item, low, high])[:, hopeful].T.tolist():
+        for t, i, low, high in np.stack([row, item, low, high])[:, whole].T.tolist():
             part = word[at[t] + low : at[t] + high]
             h, w, _ = S.weighted(*S.shingled(part, np.array([0, len(part)])))
             similar = S.probability_jaccard((h, w), self.sets[i])
