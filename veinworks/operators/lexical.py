@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veinworks.functions.storage import checkpointed
+from veinworks.operators import matrix
+
+
+#: The ranges of Han letters that count for a text's script.
+HAN = "\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff"
+
 
 def script(text: Column) -> Column:
     """Language by script: und below 20 letters; zh, en or multilingual by the share of Han letters."""
-    han, latin = F.regexp_count(text, F.lit("[\\u4e00-\\u9fff]")), F.regexp_count(text, F.lit("[A-Za-z]"))
-    share = han / (han + latin)
-    return F.when(han + latin < 20, "und").when(share >= 0.7, "zh").when(share <= 0.15, "en").otherwise("multilingual")
+    return script_parts(text)["script"]
+
+
+def script_parts(text: Column) -> Column:
+    """script and its confidence: 0 below 20 letters, the share of the prevailing script, nearness to one half for mixed texts."""
+    han, latin = F.coalesce(F.regexp_count(text, F.lit(f"[{HAN}]")), F.lit(0)), F.coalesce(F.regexp_count(text, F.lit("[A-Za-z]")), F.lit(0))
+    share = han / F.greatest(han + latin, F.lit(1))
+    few = han + latin < 20
+    name = F.when(few, "und").when(share >= 0.7, "zh").when(share <= 0.15, "en").otherwise("multilingual")
+    sure = F.when(few, 0.0).when(share >= 0.7, share).when(share <= 0.15, 1 - share).otherwise(1 - F.abs(share - 0.5) * 2)
+    return F.struct(name.alias("script"), F.round(sure, 4).alias("confidence"))
 
 
 def page_exclusion(pages: DataFrame) -> DataFrame:
@@ -41,49 +61,145 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)), F.array().cast("array<string>"))
 
 
-def _asked(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).distinct()
+def _held(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    return rows.select(F.col(key), tokens(F.col(text)).alias("_t"))
+
+
+class _Terms:
+    """The distinct tokens of a block of queries, as columns of a matrix."""
+
+    def __init__(self, asked: list[list[str]]):
+        self.words = sorted({t for ts in asked for t in ts})
+        at = {t: i for i, t in enumerate(self.words)}
+        self.matrix = np.zeros((len(self.words), len(asked)))
+        for q, ts in enumerate(asked):
+            self.matrix[[at[t] for t in ts], q] = 1.0
+
+    def counts(self, lists: pa.Array) -> np.ndarray:
+        """How often each list holds each token."""
+        code = pc.index_in(lists.flatten(), value_set=pa.array(self.words, pa.string()))
+        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+        known = code.is_valid().to_numpy(zero_copy_only=False)
+        cell = row[known] * len(self.words) + code.drop_null().to_numpy()
+        return np.bincount(cell, minlength=len(lists) * len(self.words)).reshape(len(lists), len(self.words)).astype(float)
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The ``k`` best documents of each query by BM25 over postings: query_id, rank, doc_id, score.
+def _term_statistics(held: DataFrame, terms: _Terms) -> tuple[np.ndarray, int, float]:
+    """Documents with each term, documents with tokens, and their mean length; only sums leave the tasks."""
+    k = len(terms.words)
 
-    A document is a row; its length is known inside it. Its tokens meet the query terms before anything is shuffled
-    (the terms are broadcast where their size allows), so only postings of query terms are counted.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k + 2, np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                lists = whole.column("_t").slice(at, step)
+                length = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                total += np.concatenate([(terms.counts(lists) > 0).sum(0), [(length > 0).sum(), length.sum()]])
+        yield pa.RecordBatch.from_pydict({"at": np.arange(k + 2, dtype=np.int32), "n": total})
+
+    step = max(1, matrix.CELLS // (k + 1))
+    sums = np.zeros(k + 2, np.int64)
+    for r in held.select("_t").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        sums[r["at"]] = r["n"]
+    return sums[:k], int(sums[k]), sums[k + 1] / max(1, sums[k])
+
+
+def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, limit: int = 500) -> DataFrame:
+    """The ``k`` best documents of each query by BM25: query_id, rank, doc_id, score.
+
+    Queries are a stated set held against all documents, in blocks of ``limit``. The first pass counts the block's terms,
+    the second multiplies the terms' weights in each batch of documents with the queries; no postings are shuffled.
     """
-    rows = corpus.select("doc_id", tokens(F.col("text")).alias("_t")).withColumn("length", F.size("_t")).where("length > 0")
-    size = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    asked = _asked(queries)
-    each = rows.select("doc_id", "length", F.explode("_t").alias("token"))
-    postings = each.join(asked.select("token").distinct(), "token").groupBy("doc_id", "length", "token").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("token").agg(F.count("*").alias("df"))
-    # n and mean are one row
-    weighed = postings.join(df, "token").join(F.broadcast(size))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = asked.join(weighed.select("doc_id", "token", part.alias("part")), "token").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def postings_hits(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The ``k`` documents of each query that hold most of its distinct tokens: query_id, rank, doc_id, hits."""
-    held = corpus.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    hits = held.join(_asked(queries), "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), F.desc("doc_id")))).where(F.col("rank") <= k)
+    held = _held(corpus, "doc_id")
+
+    def block(asked: list) -> DataFrame:
+        terms = _Terms([sorted(set(r["_t"])) for r in asked])
+        df, n, mean = _term_statistics(held, terms)
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+        def score(batch: pa.RecordBatch) -> np.ndarray:
+            tf = terms.counts(batch.column("_t"))
+            length = pc.list_value_length(batch.column("_t")).to_numpy(zero_copy_only=False)[:, None]
+            return (idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))) @ terms.matrix if n else np.zeros((len(tf), len(asked)))
+
+        return matrix.best_rows(held, score, [r["query_id"] for r in asked], _kind(queries), k, "doc_id", above=0.0)
+
+    return matrix.united(block(asked) for asked in matrix.blocks(_held(queries, "query_id"), "query_id", limit))
+
+
+def bm25_scores(corpus: DataFrame, queries: list[tuple[str, str]], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score) of every document that shares a token with a query (a short list of ids and texts), unrounded; one pass for the counts, one for the scores."""
+    held = _held(corpus, "doc_id")
+    asked = queries and held.sparkSession.createDataFrame(queries, "query_id string, text string").select("query_id", tokens(F.col("text")).alias("_t")).collect()
+    terms = _Terms([sorted(set(r["_t"])) for r in asked])
+    df, n, mean = _term_statistics(held, terms)
+    idf, names = np.log(1 + (n - df + 0.5) / (df + 0.5)), np.array([r["query_id"] for r in asked], object)
+    step, kind = max(1, matrix.CELLS // (len(terms.words) + len(names) + 1)), corpus.schema["doc_id"].dataType.simpleString()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                tf, length = terms.counts(batch.column("_t")), pc.list_value_length(batch.column("_t")).to_numpy(zero_copy_only=False)[:, None]
+                scores = (idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / max(mean, 1e-9)))) @ terms.matrix
+                row, query = np.nonzero(scores > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(names[query], pa.string()), batch.column("doc_id").take(pa.array(row)), pa.array(scores[row, query])], names=["query_id", "doc_id", "score"])
+
+    return held.mapInArrow(score, f"query_id string, doc_id {kind}, score double")
+
+
+def postings_hits(corpus: DataFrame, queries: DataFrame, k: int, limit: int = 500) -> DataFrame:
+    """The ``k`` documents of each query that hold most of its distinct tokens: query_id, rank, doc_id, hits. Ties go to the greatest id."""
+    held = _held(corpus, "doc_id")
+
+    def block(asked: list) -> DataFrame:
+        terms = _Terms([sorted(set(r["_t"])) for r in asked])
+        best = matrix.best_rows(held, lambda batch: (terms.counts(batch.column("_t")) > 0) @ terms.matrix, [r["query_id"] for r in asked], _kind(queries), k, "doc_id", above=0.0, last_id_first=True, measure="hits")
+        return best.withColumn("hits", F.col("hits").cast("long"))
+
+    return matrix.united(block(asked) for asked in matrix.blocks(_held(queries, "query_id"), "query_id", limit))
+
+
+def dice_top(labels: DataFrame, queries: DataFrame, k: int, limit: int = 500) -> DataFrame:
+    """The ``k`` labels (evidence_id, label) most like each query (query_id, text) by Dice's measure of their bigrams; labels without a common one score 0."""
+    held = labels.select("evidence_id", bigrams(F.col("label")).alias("_t"))
+
+    def block(asked: list) -> DataFrame:
+        terms = _Terms([r["_t"] or [] for r in asked])
+        sizes = np.array([len(r["_t"] or []) for r in asked])
+
+        def score(batch: pa.RecordBatch) -> np.ndarray:
+            own = pc.list_value_length(batch.column("_t")).fill_null(0).to_numpy(zero_copy_only=False)[:, None]
+            return 2.0 * (terms.counts(batch.column("_t")) @ terms.matrix) / np.maximum(own + sizes, 1)
+
+        return matrix.best_rows(held, score, [r["query_id"] for r in asked], _kind(queries), k)
+
+    return matrix.united(block(asked) for asked in matrix.blocks(queries.select("query_id", bigrams(F.col("text")).alias("_t")), "query_id", limit))
+
+
+def _kind(queries: DataFrame) -> str:
+    return queries.schema["query_id"].dataType.simpleString()
 
 
 def simhash(rows: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 60) -> DataFrame:
-    """(key, hash): each bit is set where its tokens, signed by the bits of their MD5, sum to 0 or more.
+    """(key, hash): each bit is set where its tokens, signed by the bits of their MD5, sum to 0 or more; texts without tokens are left out.
 
-    A row's tokens lie together, so the sums are made before the shuffle, which moves one row of sums per document.
+    Sums are made inside the row, so nothing is shuffled; each distinct token of a batch is hashed once.
     """
-    each = rows.select(key, F.explode(tokens(F.col(text))).alias("token")).select(key, F.conv(F.substring(F.md5("token"), 1, 15), 16, 10).cast("long").alias("_h"))
-    sums = each.groupBy(key).agg(*(F.sum(F.shiftright("_h", i).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"_{i}") for i in range(bits)))
-    total = F.lit(0).cast("long")
-    for i in range(bits):
-        total = total + F.when(F.col(f"_{i}") >= 0, 1 << i).otherwise(0)
-    return sums.select(key, total.alias("hash"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_t")
+            known = lists.flatten().dictionary_encode()
+            first = np.array([int(hashlib.md5(t.encode()).hexdigest()[:15], 16) for t in known.dictionary.to_pylist()], np.int64)
+            signs = (((first[:, None] >> np.arange(bits)) & 1) * 2 - 1).astype(np.int8)
+            code, at = known.indices.to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+            total = [signs[code[x:y]].sum(0, dtype=np.int64) for x, y in zip(at[:-1], at[1:], strict=True)]
+            hashes = [int((np.int64(1) << np.flatnonzero(t >= 0)).sum()) for t in total]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(hashes, pa.int64())], names=[key, "hash"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return _held(rows, key, text).where(F.size("_t") > 0).mapInArrow(sums, f"{key} {kind}, hash long")
 
 
 def near_hashes(hashes: DataFrame, distance: int = 3, key: str = "doc_id") -> DataFrame:
@@ -92,14 +208,14 @@ def near_hashes(hashes: DataFrame, distance: int = 3, key: str = "doc_id") -> Da
     Equal hashes are first counted, so copies are not paired. Of six blocks of ten bits, three are equal in every such
     pair; each choice of three makes a key of 30 bits, which stays selective for many hashes.
     """
-    counted = hashes.groupBy("hash").agg(F.count("*").alias("rows"))
+    counted = checkpointed(hashes.groupBy("hash").agg(F.count("*").alias("rows")))
     block = lambda i: F.shiftright("hash", 10 * i).bitwiseAND(F.lit(1023))
     keys = F.array(*(F.shiftleft(block(x), 20).bitwiseOR(F.shiftleft(block(y), 10)).bitwiseOR(block(z)) for x, y, z in combinations(range(6), 3)))
-    banded = counted.select("hash", "rows", F.posexplode(keys).alias("band", "value"))
-    other = banded.select(F.col("hash").alias("other"), F.col("rows").alias("other_rows"), "band", "value")
+    banded = counted.select("hash", F.posexplode(keys).alias("band", "value"))
     away = F.bit_count(F.col("hash").bitwiseXOR(F.col("other")))
-    pairs = banded.join(other, ["band", "value"]).where((F.col("hash") < F.col("other")) & (away <= distance))
-    return pairs.withColumn("distance", away).select("hash", "other", "rows", "other_rows", "distance").distinct()
+    pairs = banded.join(banded.withColumnRenamed("hash", "other"), ["band", "value"]).where((F.col("hash") < F.col("other")) & (away <= distance)).select("hash", "other").distinct()
+    other = counted.select(F.col("hash").alias("other"), F.col("rows").alias("other_rows"))
+    return pairs.join(counted, "hash").join(other, "other").select("hash", "other", "rows", "other_rows", away.alias("distance"))
 
 
 def capped(pages: DataFrame, per_family: int, per_group: int) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veinworks.functions.storage import checkpointed
+from veinworks.operators import matrix
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -19,20 +21,23 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), tie))).where(F.col("rank") <= k)
 
 
-def dense(queries: DataFrame, corpus: DataFrame, k: int, limit: int = 10_000) -> DataFrame:
-    """The ``k`` nearest vectors of each query: query_id, evidence_id, score, rank.
+def dense(queries: DataFrame, corpus: DataFrame, k: int, limit: int = 4_000_000) -> DataFrame:
+    """The ``k`` nearest vectors of each query by dot product: query_id, evidence_id, score, rank; rows without a vector of the query's length are left out.
 
-    Queries (query_id, vector) are a stated set held against all rows, in blocks: they are counted,
-    and dealt into blocks of at most ``limit`` queries that are broadcast one after the other.
+    Queries (query_id, query) are a stated set held against all rows, in blocks of ``limit`` components that are
+    multiplied with each batch of rows; see ``matrix``.
     """
-    blocks = max(1, -(-queries.count() // limit))
-    out = None
-    for i in range(blocks):
-        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        scored = corpus.join(F.broadcast(some)).select("query_id", "evidence_id", F.round(dot(F.col("vector"), F.col("query")), 6).alias("score"))
-        best = top_k(scored, k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    kind = queries.schema["query_id"].dataType.simpleString()
+    whole = queries.where(F.col("query").isNotNull()).select("query_id", F.col("query").cast("array<double>").alias("query"))
+    widths = [r[0] for r in whole.select(F.size("query")).distinct().collect()]
+    rows = corpus.select("evidence_id", F.col("vector").cast("array<double>").alias("vector"))
+
+    def block(asked: list, width: int) -> DataFrame:
+        sides = np.array([r["query"] for r in asked], float).reshape(len(asked), width).T
+        return matrix.best_rows(rows, lambda batch: matrix.vectors_of(batch.column("vector"), width) @ sides, [r["query_id"] for r in asked], kind, k)
+
+    found = [block(asked, w) for w in widths for asked in matrix.blocks(whole.where(F.size("query") == w), "query_id", max(1, limit // max(1, w)))]
+    return matrix.united(found) if found else rows.sparkSession.createDataFrame([], f"query_id {kind}, evidence_id {corpus.schema['evidence_id'].dataType.simpleString()}, score double, rank int")
 
 
 def hybrid(pool: DataFrame, k: int, lexical: float = 0.65, role: float = 0.25, confidence: float = 0.10) -> DataFrame:
@@ -49,6 +54,14 @@ def _overlap(a: dict, b: dict) -> float:
     return len(x & y) / max(1, len(x | y))
 
 
+def pair_overlap(ranked: DataFrame) -> DataFrame:
+    """Per query the mean overlap of its pairs of ranked rows (query_id, rank, claim_id, ends): 1 for one claim, else the Jaccard similarity of their ends."""
+    other = ranked.select("query_id", F.col("rank").alias("_r"), F.col("claim_id").alias("_c"), F.col("ends").alias("_e"))
+    jaccard = F.size(F.array_intersect("ends", "_e")) / F.greatest(F.lit(1), F.size(F.array_union("ends", "_e")))
+    overlap = F.when(F.col("claim_id") == F.col("_c"), 1.0).otherwise(jaccard)
+    return ranked.join(other, "query_id").where("rank < _r").groupBy("query_id").agg(F.round(F.avg(overlap), 6).alias("overlap"), F.count("*").alias("pairs"))
+
+
 def select(pool: DataFrame, k: int, family_cap: int | None = 2, bonus: float = 0.1, penalty: float = 0.2, minimum: float | None = None) -> DataFrame:
     """The budgeted greedy choice per query over ranked rows (query_id, rank, evidence_id, family_id, claim_id, score).
 
@@ -59,28 +72,49 @@ def select(pool: DataFrame, k: int, family_cap: int | None = 2, bonus: float = 0
     """
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("rank").to_dict("records")
-        taken: list[dict] = []
-        while rows and len(taken) < k:
-            families = [r["family_id"] for r in taken]
-            best, best_gain = None, None
-            for r in rows:
-                if family_cap is not None and families.count(r["family_id"]) >= family_cap:
-                    continue
-                new = family_cap is not None and r["family_id"] not in families
-                gain = round(r["score"] + bonus * new - penalty * max((_overlap(r, t) for t in taken), default=0.0), 9)
-                if best is None or gain > best_gain:
-                    best, best_gain = r, gain
-            if best is None or minimum is not None and best_gain < minimum:
-                break
-            rows.remove(best)
-            taken.append(best | {"position": len(taken) + 1, "gain": round(best_gain, 6)})
+        taken = _greedy(pdf.sort_values("rank").to_dict("records"), k, family_cap, bonus, penalty, minimum)
         return pd.DataFrame(taken, columns=[*pdf.columns, "position", "gain"])[["query_id", "position", "evidence_id", "gain"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in pool.schema}
     return pool.groupBy("query_id").applyInPandas(choose, f"query_id {kinds['query_id']}, position long, evidence_id {kinds['evidence_id']}, gain double")
 
 
+def _greedy(rows: list[dict], k: int, family_cap: int | None, bonus: float, penalty: float, minimum: float | None) -> list[dict]:
+    taken: list[dict] = []
+    while rows and len(taken) < k:
+        families = [r["family_id"] for r in taken]
+        best, best_gain = None, None
+        for r in rows:
+            if family_cap is not None and families.count(r["family_id"]) >= family_cap:
+                continue
+            new = family_cap is not None and r["family_id"] not in families
+            gain = round(r["score"] + bonus * new - penalty * max((_overlap(r, t) for t in taken), default=0.0), 9)
+            if best is None or gain > best_gain:
+                best, best_gain = r, gain
+        if best is None or minimum is not None and best_gain < minimum:
+            break
+        rows.remove(best)
+        taken.append(best | {"position": len(taken) + 1, "gain": round(best_gain, 6)})
+    return taken
+
+
+def select_by_grid(pool: DataFrame, grid: list[tuple[int, float, float, int]], k: int) -> DataFrame:
+    """``select`` for every setting (config_id, bonus, penalty, family cap) in one plan: config_id, query_id, position, evidence_id, gain.
+
+    Settings are exploded beside the pool's rows, and a group is one setting of one query.
+    """
+    settings = F.explode(F.array(*(F.struct(F.lit(c).alias("config_id"), F.lit(float(b)).alias("_bonus"), F.lit(float(p)).alias("_penalty"), F.lit(cap).alias("_cap")) for c, b, p, cap in grid)))
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        taken = _greedy(pdf.sort_values("rank").to_dict("records"), k, int(first["_cap"]), float(first["_bonus"]), float(first["_penalty"]), None)
+        return pd.DataFrame(taken, columns=[*pdf.columns, "position", "gain"])[["config_id", "query_id", "position", "evidence_id", "gain"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in pool.schema}
+    each = pool.select("*", settings.alias("_s")).select(*pool.columns, "_s.*")
+    return each.groupBy("config_id", "query_id").applyInPandas(choose, f"config_id int, query_id {kinds['query_id']}, position long, evidence_id {kinds['evidence_id']}, gain double")
+
+
 def hard_negatives(queries: DataFrame, candidates: DataFrame, pool: int) -> DataFrame:
     """Per query (query_id, fault_id, role, family_id), the candidates of other families that come nearest: most matches of fault and role first, then same role, then confidence, then id.
 
