@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,14 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A batch lies in memory as rows, in the executor's buffers and in the Python worker, so it must not grow with the texts.
 ARROW_BATCH_BYTES = 8_000_000
-_scratch: list[list[DataFrame]] = []
+class _Open(threading.local):
+    """The scratch blocks that a thread is in."""
+
+    def __init__(self) -> None:
+        self.blocks: list[list[DataFrame]] = []
+
+
+_scratch = _Open()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder is set where that is unset, as in tests on one machine."""
+    """``spark.checkpoint.dir``; a temporary folder is set where that is unset and Spark runs on one machine. A cluster has to name one."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="veinworks-checkpoints-"))
         configured = sc.getCheckpointDir()
     return configured
@@ -49,8 +59,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._written_to = path
-    if _scratch:
-        _scratch[-1].append(kept)
+    if _scratch.blocks:
+        _scratch.blocks[-1].append(kept)
     return kept
 
 
@@ -63,9 +73,9 @@ def discard(*tables: DataFrame) -> None:
 
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Delete at its end all tables that ``checkpointed`` wrote within it; results must have been written out by then."""
-    _scratch.append([])
+    """Delete at its end all tables that ``checkpointed`` wrote within it in this thread; results must have been written out by then."""
+    _scratch.blocks.append([])
     try:
         yield
     finally:
-        discard(*_scratch.pop())
+        discard(*_scratch.blocks.pop())

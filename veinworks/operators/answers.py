@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veinworks.operators.quantiles import exact_quantiles
+
 
 def contract_violations(status: Column, citations: Column, allowed: Column, text: Column, limit: int) -> Column:
     """Why an answer is not valid: unknown status, missing or foreign citations, or too long a text."""
@@ -52,7 +54,7 @@ def position_effect(runs: DataFrame, methods: int) -> DataFrame:
     """Latency by the position that a run had among its query's runs, in time order."""
     order = Window.partitionBy("query_id").orderBy("ts", "event_id")
     at = runs.withColumn("position", (F.row_number().over(order) - 1) % methods)
-    return at.groupBy("position").agg(F.count("*").alias("runs"), F.round(F.percentile("latency", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("latency", F.lit(0.95)), 6).alias("p95"))
+    return exact_quantiles(at, ("position",), "latency", (0.5, 0.95)).select("position", F.col("n").alias("runs"), F.round("q0", 6).alias("p50"), F.round("q1", 6).alias("p95"))
 
 
 def yields(rows: DataFrame, *by: str) -> DataFrame:

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veinworks.functions.numbering import numbered
+from veinworks.functions.storage import checkpointed
+from veinworks.operators.quantiles import MOST, exact_quantiles
+from veinworks.operators.skyline import skyline
+
 
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """Per query: recall, reciprocal rank and nDCG over the first ``k`` rows.
@@ -20,9 +29,14 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame
     return joined.select("query_id", F.round(F.col("hits") / F.col("wanted"), 6).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.round(F.when(F.col("returned") > 0, F.col("dcg") / ideal).otherwise(0.0), 6).alias("ndcg"))
 
 
-def latency_table(runs: DataFrame, *by: str) -> DataFrame:
-    """Count, mean, and exact interpolated median and 95th percentile."""
-    return runs.groupBy(*by).agg(F.count("*").alias("runs"), F.round(F.avg("latency"), 6).alias("mean"), F.round(F.percentile("latency", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("latency", F.lit(0.95)), 6).alias("p95"))
+def latency_table(runs: DataFrame, *by: str, most: int = MOST) -> DataFrame:
+    """Count, mean, and exact interpolated median and 95th percentile; groups of more than ``most`` runs are never in one task."""
+    found = exact_quantiles(runs, by, "latency", (0.5, 0.95), most)
+    means = runs.groupBy(*by).agg(F.count("*").alias("runs"), F.round(F.avg("latency"), 6).alias("mean"))
+    on = F.lit(True)
+    for k in by:
+        on = on & F.col(f"m.{k}").eqNullSafe(F.col(f"q.{k}"))
+    return means.alias("m").join(found.alias("q"), on, "left").select(*(F.col(f"m.{k}").alias(k) for k in by), "runs", "mean", F.round("q0", 6).alias("p50"), F.round("q1", 6).alias("p95"))
 
 
 def grouped_in_sets(rows: DataFrame, first: str, second: str, measure: str) -> DataFrame:
@@ -33,30 +47,33 @@ def grouped_in_sets(rows: DataFrame, first: str, second: str, measure: str) -> D
 
 def paired(runs: DataFrame, left: str, right: str) -> DataFrame:
     """Per query that both methods ran: the difference of their median latencies."""
-    med = lambda m: runs.where(F.col("method") == m).groupBy("query_id").agg(F.percentile("latency", F.lit(0.5)).alias(m))
+    medians = exact_quantiles(runs.where(F.col("method").isin(left, right)), ("method", "query_id"), "latency", (0.5,))
+    med = lambda m: medians.where(F.col("method") == m).select("query_id", F.col("q0").alias(m))
     return med(left).join(med(right), "query_id").select("query_id", F.round(F.col(right) - F.col(left), 6).alias("delta"))
 
 
 def repeat_guard(runs: DataFrame, repeats: int) -> DataFrame:
     """Per method and query: the median latency, or null unless every repeat is there."""
-    per = runs.groupBy("method", "query_id").agg(F.countDistinct("repeat").alias("repeats"), F.percentile("latency", F.lit(0.5)).alias("_m"))
+    medians = exact_quantiles(runs, ("method", "query_id"), "latency", (0.5,)).select("method", "query_id", F.col("q0").alias("_m"))
+    per = runs.groupBy("method", "query_id").agg(F.countDistinct("repeat").alias("repeats")).join(medians, ["method", "query_id"], "left")
     return per.select("method", "query_id", "repeats", F.round(F.when(F.col("repeats") == repeats, F.col("_m")), 6).alias("median"))
 
 
 def pareto_front(rows: DataFrame, key: str, low: str, high: str) -> DataFrame:
-    """Rows that no other is at least as good as in both measures and better in one: ``low`` is best small, ``high`` large.
+    """Rows that no other is at least as good as in both measures and better in one: ``low`` is best small, ``high`` large."""
+    return skyline(rows.select(key, low, high), (low,), (high,))
+
 
-    Ordered by ``low``, a row stays if it beats the best ``high`` of all smaller ``low`` and has the best of its own.
-    The running best is taken in two steps, within the ranges of ``low`` and over the ranges' maxima, so no task gets all rows.
+def chosen_setting(measured: DataFrame, key: str, quality: str, slack: float, low: tuple[str, ...], high: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """The settings that no other dominates, whether their quality is within ``slack`` of the best, and the first of those by ``order`` ("-" for descending).
+
+    Settings are a grid, so the chosen one is found among rows as few as those.
     """
-    levels = rows.groupBy(low).agg(F.max(high).alias("_best"))
-    cells = levels.withColumn("_cell", F.floor(F.col(low)))
-    inner = Window.partitionBy("_cell").orderBy(low).rowsBetween(Window.unboundedPreceding, -1)
-    maxima = cells.groupBy("_cell").agg(F.max("_best").alias("_top"))
-    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    led = maxima.withColumn("_earlier", F.max("_top").over(before)).select("_cell", "_earlier")
-    kept = cells.withColumn("_own", F.max("_best").over(inner)).join(led, "_cell").where(F.col("_best") > F.coalesce(F.greatest("_own", "_earlier"), F.lit(float("-inf"))))
-    return rows.join(kept.select(F.col(low).alias("_l"), F.col("_best").alias("_b")), (F.col(low) == F.col("_l")) & (F.col(high) == F.col("_b"))).select(key, low, high)
+    best = measured.agg(F.max(quality).alias("_best"))  # one row
+    held = checkpointed(skyline(measured, low, high).join(F.broadcast(best)).withColumn("allowed", F.col(quality) >= F.col("_best") - slack).drop("_best"))
+    by = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
+    first = held.orderBy(F.desc("allowed"), *by).limit(1).select(F.col(key).alias("_first"))
+    return held.join(F.broadcast(first), F.col(key) == F.col("_first"), "left").withColumn("chosen", F.col("_first").isNotNull()).drop("_first")
 
 
 def draw(seed: int, replicate: Column, slot: Column, n: Column) -> Column:
@@ -64,17 +81,55 @@ def draw(seed: int, replicate: Column, slot: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), replicate, slot)), 1, 15), 16, 10).cast("long"), n)
 
 
+def drawn(clusters: DataFrame, replicates: int, seed: int = 7) -> DataFrame:
+    """The rows of ``clusters`` (one for each ``cluster``) drawn with replacement: their columns, ``replicate`` and ``times``.
+
+    Clusters are numbered in their order by ranges and prefix sums. Each replicate draws as many as there are, by hashes
+    of seed, replicate and slot; draws are counted before they meet the clusters.
+    """
+    table = numbered(clusters, "cluster", name="_i")
+    n = table.count()
+    slots = table.select(F.col("_i").alias("slot")).select("slot", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    times = slots.groupBy("replicate", draw(seed, F.col("replicate"), F.col("slot"), F.lit(max(1, n))).alias("_i")).agg(F.count("*").alias("times"))
+    return times.join(table, "_i").drop("_i")
+
+
 def bootstrap(clusters: DataFrame, replicates: int, seed: int = 7) -> DataFrame:
-    """(replicate, value): ratios of sums over clusters drawn with replacement. Clusters are (cluster, numerator, denominator).
+    """(replicate, value): ratios of sums over clusters drawn with replacement. Clusters are (cluster, numerator, denominator)."""
+    sums = drawn(clusters, replicates, seed).groupBy("replicate").agg(F.sum(F.col("numerator") * F.col("times")).alias("_a"), F.sum(F.col("denominator") * F.col("times")).alias("_b"))
+    return sums.select("replicate", F.round(F.col("_a") / F.col("_b"), 6).alias("value"))
+
 
-    Clusters are numbered, each replicate draws as many of them as there are, and the draws join the clusters by
-    number; rows are one per replicate and cluster.
+def bootstrap_ratio_gap(clusters: DataFrame, replicates: int, seed: int = 7) -> DataFrame:
+    """(replicate, value): the difference of two ratios of sums over the same draws. Clusters are (cluster, left, left_of, right, right_of)."""
+    total = lambda c: F.sum(F.col(c) * F.col("times"))
+    gap = F.coalesce(F.try_divide(total("left").cast("double"), total("left_of")), F.lit(0.0)) - F.coalesce(F.try_divide(total("right").cast("double"), total("right_of")), F.lit(0.0))
+    return drawn(clusters, replicates, seed).groupBy("replicate").agg(F.round(gap, 6).alias("value"))
+
+
+def bootstrap_gap(pairs: DataFrame, replicates: int, statistic: Callable[[np.ndarray], float] | str = "mean", seed: int = 7) -> DataFrame:
+    """(replicate, value): the difference of a statistic of ``left`` and of ``right`` over the same drawn pairs (cluster, left, right).
+
+    ``statistic`` is "mean", "p50" or "p95", which Spark aggregates, or any function of an array, which runs in a
+    grouped aggregate of Arrow batches; then a replicate's values are in one task.
     """
-    numbered = clusters.withColumn("_i", F.row_number().over(Window.orderBy("cluster")) - 1)
-    size = clusters.agg(F.count("*").alias("_n"))
-    draws = numbered.select(F.col("_i").alias("slot")).join(F.broadcast(size)).select("slot", "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    drawn = draws.select("replicate", draw(seed, F.col("replicate"), F.col("slot"), F.col("_n")).alias("_i"))
-    return drawn.join(numbered, "_i").groupBy("replicate").agg(F.round(F.sum("numerator") / F.sum("denominator"), 6).alias("value"))
+    rows = drawn(pairs, replicates, seed)
+    if statistic == "mean":
+        total = lambda c: F.sum(F.col(c) * F.col("times")) / F.sum("times")
+        found = rows.groupBy("replicate").agg((total("left") - total("right")).alias("value"))
+    elif isinstance(statistic, str):
+        at = float(statistic.removeprefix("p")) / 100
+        # percentile takes the times as frequencies, so no row is repeated
+        of = lambda c: F.expr(f"percentile({c}, {at}D, times)")
+        found = rows.groupBy("replicate").agg((of("left") - of("right")).alias("value"))
+    else:
+
+        @F.pandas_udf("double")
+        def measure(values: pd.Series, times: pd.Series) -> float:
+            return float(statistic(np.repeat(values.to_numpy(), times.to_numpy())))
+
+        found = rows.groupBy("replicate").agg(measure("left", "times").alias("_l"), measure("right", "times").alias("_r")).select("replicate", (F.col("_l") - F.col("_r")).alias("value"))
+    return found.select("replicate", F.round("value", 6).alias("value"))
 
 
 def interval(replicates: DataFrame) -> DataFrame:
@@ -82,6 +137,36 @@ def interval(replicates: DataFrame) -> DataFrame:
     return replicates.agg(F.round(F.percentile("value", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("value", F.lit(0.975)), 6).alias("high"), F.round(F.avg("value"), 6).alias("mean"))
 
 
+def effectiveness(runs: DataFrame, reference: str, proposed: list[str], replicates: int, margin: float = 0.05, gain: float = 0.0, seed: int = 7) -> DataFrame:
+    """For each proposed method against the reference over the queries that both ran: differences, their 95 % intervals and the gates.
+
+    Runs are one a query (method, query_id, utility, latency). Quality passes if the utility gained surely exceeds
+    ``gain``; latency passes if its 95th percentile is surely no more than ``margin`` above the reference's. Both sides
+    of a comparison use the same drawn queries.
+    """
+    of = lambda m, side: runs.where(F.col("method") == m).select(F.col("query_id").alias("cluster"), F.col("utility").alias(f"u_{side}"), F.col("latency").alias(f"l_{side}"))
+    out = None
+    for i, method in enumerate(proposed):
+        pairs = checkpointed(of(method, "left").join(of(reference, "right"), "cluster"))
+        side = lambda x: pairs.select("cluster", F.col(f"{x}_left").alias("left"), F.col(f"{x}_right").alias("right"))  # noqa: B023, E731
+        told = pairs.agg(F.count("*").alias("paired"), (F.avg("u_left") - F.avg("u_right")).alias("utility_delta"))
+        # tables of one row each
+        for name, column in (("p95", "l_left"), ("p95_reference", "l_right")):
+            told = told.join(F.broadcast(exact_quantiles(pairs, (), column, (0.95,)).select(F.col("q0").alias(name))))
+        for name, values in (("utility", bootstrap_gap(side("u"), replicates, "mean", seed + i)), ("latency", bootstrap_gap(side("l"), replicates, "p95", seed + 1000 + i))):
+            told = told.join(F.broadcast(interval(values).select(F.col("low").alias(f"{name}_low"), F.col("high").alias(f"{name}_high"))))
+        one = told.select(F.lit(method).alias("method"), "*")
+        out = one if out is None else out.unionByName(one)
+    allowed, ratio = F.col("p95_reference") * margin, F.try_divide("p95", "p95_reference")
+    gates = {
+        "point_gate": (F.col("utility_delta") > gain) & (ratio <= 1 + margin),
+        "quality_gate": F.col("utility_low") > gain,
+        "latency_gate": F.col("latency_high") <= allowed,
+    }
+    rounded = {c: F.round(c, 6) for c in ("utility_delta", "p95", "p95_reference")} | {"allowed": F.round(allowed, 6)}
+    return out.withColumns(gates).withColumn("joint_gate", F.col("quality_gate") & F.col("latency_gate")).withColumns(rounded)
+
+
 def rotation(methods: int, queries: Column, repeats: Column, position: Column) -> Column:
     """The method at a position of the rotated order of (query, repeat)."""
     return F.pmod(position + queries + repeats, F.lit(methods))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veinworks.functions.storage import checkpointed
+from veinworks.operators.quantiles import MOST, exact_quantiles
+
 #: Weights of evidence levels and entailment statuses.
 LEVEL_WEIGHTS = {"E1": 1.0, "E2": 0.95, "E3": 0.75}
 STATUS_WEIGHTS = {"entailed": 1.0, "undetermined": 0.75, "not_entailed": 0.0}
@@ -65,12 +68,19 @@ def budget_support(rows: DataFrame, budgets: tuple[int, ...] = (1, 2, 3, 4)) ->
     return sums.select("claim_id", F.explode(F.array(*(F.struct(F.lit(b).alias("budget"), F.col(str(b)).alias("support")) for b in budgets))).alias("_b")).select("claim_id", "_b.budget", "_b.support")
 
 
-def summary(support: DataFrame, *by: str) -> DataFrame:
-    """Counts and exact interpolated quartiles of support."""
-    quartile = lambda p: F.round(F.percentile("support", F.lit(p)), 6)
-    return support.groupBy(*by).agg(
-        F.count("*").alias("claims"), F.round(F.avg("support"), 6).alias("mean"), F.min("support").alias("low"), quartile(0.25).alias("p25"), quartile(0.5).alias("median"), quartile(0.75).alias("p75"), F.max("support").alias("high"), F.count_if(F.col("support") >= 0.5).alias("at_least_half"), F.count_if(F.col("support") >= 0.8).alias("at_least_four_fifths")
+def summary(support: DataFrame, *by: str, most: int = MOST) -> DataFrame:
+    """Counts and exact interpolated quartiles of support; a group of more than ``most`` claims is never in one task."""
+    kept = checkpointed(support)
+    parts = [f"q{i}" for i in range(3)]
+    quartiles = exact_quantiles(kept, by, "support", (0.25, 0.5, 0.75), most).select(*(F.col(c).alias(f"_{c}") for c in by), *parts)
+    counts = kept.groupBy(*by).agg(
+        F.count("*").alias("claims"), F.round(F.avg("support"), 6).alias("mean"), F.min("support").alias("low"), F.max("support").alias("high"), F.count_if(F.col("support") >= 0.5).alias("at_least_half"), F.count_if(F.col("support") >= 0.8).alias("at_least_four_fifths")
     )
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    named = [F.round(q, 6).alias(n) for q, n in zip(parts, ("p25", "median", "p75"), strict=True)]
+    return counts.join(quartiles, on, "left").select(*by, "claims", "mean", "low", *named, "high", "at_least_half", "at_least_four_fifths")
 
 
 def replicated(rows: DataFrame, copies: int) -> DataFrame:
