@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veinworks.operators.intervals import overlapping
+
 #: Roles of relation codes; any other relation has the role ``other``.
 ROLES = {"causes": "cause", "indicates": "symptom", "detects": "method", "mitigates": "action"}
 
@@ -105,10 +107,11 @@ def clipped(boxes: DataFrame, width: float, height: float) -> DataFrame:
     return boxes.withColumns({f"_{c}": F.col(c) for c in cut}).withColumns(cut).withColumn("changed", changed).where("x1 > x0 and bottom > top").drop(*(f"_{c}" for c in cut))
 
 
-def rows_in_cells(cells: DataFrame, rows: DataFrame, slack: float = 0.5) -> DataFrame:
-    """Rows (table_id, centre) inside merged cells (table_id, cell_id, top, bottom) of the same table, give or take ``slack``."""
-    inside = (F.col("centre") >= F.col("top") - slack) & (F.col("centre") <= F.col("bottom") + slack)
-    return cells.join(rows, "table_id").where(inside)
+def rows_in_cells(cells: DataFrame, rows: DataFrame, slack: float = 0.5, width: float = 20.0) -> DataFrame:
+    """Rows (table_id, centre) inside merged cells (table_id, cell_id, top, bottom) of the same table, give or take ``slack``; found through bins of ``width``."""
+    wide = cells.withColumns({"_low": F.col("top") - slack, "_high": F.col("bottom") + slack})
+    met = overlapping(wide, rows, ["table_id"], width, "_low", "_high", "centre", "centre")
+    return met.withColumnRenamed("other_centre", "centre").drop("_low", "_high")
 
 
 def first_runs(runs: DataFrame) -> DataFrame:
@@ -150,13 +153,6 @@ def answer_rates(rows: DataFrame) -> DataFrame:
     )
 
 
-def joint_gate(quality: DataFrame, latency: DataFrame, gain: float, slack: float) -> DataFrame:
-    """From one-row intervals (low, high, mean) of quality and latency differences: whether quality gains surely and latency surely isn't much worse."""
-    q, t = (df.select(*(F.col(c).alias(f"{n}_{c}") for c in ("low", "high", "mean"))) for df, n in ((quality, "quality"), (latency, "latency")))
-    # both sides are one row
-    return q.join(F.broadcast(t)).withColumn("passes", (F.col("quality_low") > gain) & (F.col("latency_high") <= slack))
-
-
 def favourable(replicates: DataFrame) -> DataFrame:
     """The mean of replicate differences, the share above zero, and whether 95 % of them lie on one side of zero."""
     low, high = F.percentile("value", F.lit(0.025)), F.percentile("value", F.lit(0.975))

@@ -55,3 +55,10 @@ def rule(name: str, severity: str, rows: DataFrame, violated: Column, example: C
 def report(rules: list[DataFrame]) -> DataFrame:
     """All rules, each with whether it blocks a release."""
     return reduce(DataFrame.unionByName, rules).withColumn("blocking", (F.col("severity") == "error") & (F.col("violations") > 0))
+
+
+def changed_fields(released: DataFrame, raw: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """(key, changed): the fields in which a released record differs from the raw one (nulls are equal), joined by commas; ``absent`` without one."""
+    held = raw.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_raw_{c}") for c in fields))
+    differs = F.array_join(F.array_compact(F.array(*(F.when(~F.col(c).eqNullSafe(F.col(f"_raw_{c}")), c) for c in fields))), ",")
+    return released.join(held, released[key] == held["_key"], "left").select(key, F.when(F.col("_key").isNull(), "absent").otherwise(differs).alias("changed"))

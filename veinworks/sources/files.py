@@ -77,6 +77,47 @@ def last_of_run(rows: DataFrame, fingerprint: str, keys: list[str], position: st
     return rows.where(F.col("fingerprint") == fingerprint).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
+#: Decisions of released records.
+RELEASED = ("silver_candidate", "accepted_silver")
+
+
+def released(records: DataFrame, key: str = "evidence_id", position: tuple[str, ...] = ("_file", "_position")) -> DataFrame:
+    """Released records (decision, eligible, inferred) with a key, the first of each key by position.
+
+    Only the least position of a key is shuffled, not its rows, so a key may be repeated any number of times.
+    """
+    fine = records.where(F.col("decision").isin(*RELEASED) & F.coalesce("eligible", F.lit(False)) & ~F.coalesce("inferred", F.lit(False)) & (F.coalesce(F.col(key), F.lit("")) != ""))
+    place = F.struct(*position)
+    first = fine.groupBy(key).agg(F.min(place).alias("_first"))
+    return fine.join(first, key).where(place == F.col("_first")).drop("_first")
+
+
+def valid_prefix(rows: DataFrame, key: str, position: str, version: str, digest: str) -> DataFrame:
+    """What an interrupted run of each document left that may be kept: rows (key, position, page, readable, version, digest) before the first unreadable one.
+
+    A document whose readable prefix holds a row of another version or digest, or a page twice, is begun anew.
+    """
+    broken = rows.where(~F.col("readable")).groupBy(key).agg(F.min(position).alias("_break"))
+    prefix = rows.join(broken, key, "left").where(F.col("_break").isNull() | (F.col(position) < F.col("_break"))).drop("_break")
+    other = ~(F.col("version").eqNullSafe(F.lit(version)) & F.col("digest").eqNullSafe(F.col(digest) if digest in rows.columns else F.lit(digest)))
+    bad = prefix.groupBy(key, "page").agg(F.count("*").alias("_n"), F.bool_or(other).alias("_other")).where((F.col("_n") > 1) | F.col("_other")).select(key).distinct()
+    return prefix.join(bad, key, "left_anti")
+
+
+def document_table(spark: SparkSession, path: str, at: str, fields: str) -> DataFrame:
+    """A dimension table from one JSON document: the list or the map of objects at ``at`` (such as $.faults), with ``fields`` as DDL; entries of a map get their name as ``key``.
+
+    The document is read as VARIANT, so members that ``fields`` lacks do no harm; a missing list gives no rows.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("_v"))
+    entries = text.select(F.try_variant_get("_v", at, "variant").alias("_e")).where(F.col("_e").isNotNull())
+    entries.createOrReplaceTempView("_document_entries")
+    each = spark.sql("SELECT e.key, e.pos, e.value FROM _document_entries, LATERAL variant_explode(_e) AS e")
+    schema = StructType.fromDDL(fields)
+    columns = [F.try_variant_get("value", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in schema]
+    return each.orderBy("pos").select("key", *columns)
+
+
 def still_to_do(inputs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Inputs without a finished row of the same keys (such as document, page, parser version and checksum)."""
     return inputs.join(done.select(*keys).distinct(), keys, "left_anti")

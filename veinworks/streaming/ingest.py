@@ -26,3 +26,15 @@ def windowed_latency(events: DataFrame, time: str = "ts", every: str = "1 hour",
     """Count and mean latency by method and tumbling window of event time; late rows are dropped after ``delay``."""
     per = events.withWatermark(time, delay).groupBy(F.window(time, every), "method").agg(F.count("*").alias("runs"), F.avg("latency").alias("mean"))
     return per.select(F.col("window.start").alias("start"), "method", "runs", F.round("mean", 6).alias("mean"))
+
+
+def batch_sink(path: str):
+    """A function for ``foreachBatch``: every batch is a folder of its own, named by its id, and replaces an earlier try.
+
+    A batch that is run again after a failure, whole or in part, leaves the rows of one run.
+    """
+
+    def put(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return put
