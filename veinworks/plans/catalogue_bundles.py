@@ -185,13 +185,6 @@ def bootstrap_paired(spark, sf_dir):
     return bundles.favourable(_replicates(spark, sf_dir))
 
 
-@query(f"""WITH {_REPLICATES}, t AS (SELECT round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round(avg(value), 6) AS mean FROM v)
-SELECT low AS quality_low, high AS quality_high, mean AS quality_mean, low AS latency_low, high AS latency_high, mean AS latency_mean, low > 0 AND high <= 50 AS passes FROM t""")
-def joint_gate(spark, sf_dir):
-    told = evaluation.interval(_replicates(spark, sf_dir))
-    return bundles.joint_gate(told, told, 0.0, 50.0)
-
-
 _RATED = "rated AS (SELECT event_type AS method, event_id % 5 <> 0 AS answered, event_id % 3 <> 0 AS answerable, round(CAST(value AS double), 3) AS utility, event_id % 7 AS citations FROM events)"
 
 

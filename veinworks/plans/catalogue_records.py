@@ -66,10 +66,17 @@ def lexical_audit(spark, sf_dir):
     return n.groupBy(F.col("source").alias("family")).agg(F.count("*").alias("docs"), F.count_if(F.col("n") > 0).alias("matched"), F.sum("n").cast("long").alias("matches"))
 
 
-@query("SELECT p_partkey AS id, position(p_type IN concat(p_name, ' ', p_type)) - 1 AS start, 'exact' AS method FROM part")
+_SURFACE = "CASE p_partkey % 5 WHEN 0 THEN p_type WHEN 1 THEN upper(p_name) WHEN 2 THEN replace(lower(p_name), ' ', '  ') WHEN 3 THEN 'a.b*(c' ELSE '' END"
+_PAGE_TEXT = "CASE WHEN p_partkey % 10 = 3 THEN p_name || ' A.B*(C ' || p_type ELSE p_name || chr(10) || ' ' || p_type END"
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS id, {_PAGE_TEXT} AS text, {_SURFACE} AS surface FROM part), u AS (SELECT *, regexp_replace(regexp_replace(trim(surface), '([.*(])', '\\\\\\1', 'g'), '\\s+', '\\\\s+', 'g') AS pattern FROM t),
+v AS (SELECT id, instr(text, surface) AS exact, surface, instr(text, nullif(regexp_extract(text, '(?i)' || pattern), '')) AS flexible FROM u)
+SELECT id, CAST(CASE WHEN surface = '' THEN NULL WHEN exact > 0 THEN exact - 1 WHEN flexible > 0 THEN flexible - 1 END AS integer) AS start, CASE WHEN surface = '' THEN NULL WHEN exact > 0 THEN 'exact' WHEN flexible > 0 THEN 'flexible' END AS method FROM v""")
 def surface_location(spark, sf_dir):
-    at = validation.located(F.concat_ws(" ", "p_name", "p_type"), F.col("p_type"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), at.alias("_at")).select("id", "_at.start", "_at.method")
+    """Surfaces that stand there, that differ in case and white space, that are patterns to a careless search, and that are missing."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", f"{_PAGE_TEXT} AS text", f"{_SURFACE} AS surface")
+    return rows.select("id", validation.located(F.col("text"), F.col("surface")).alias("_at")).select("id", "_at.start", "_at.method")
 
 
 @query("""WITH s AS (SELECT p_partkey AS id, trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')) AS b FROM part), t AS (SELECT *, replace(b, '-', ' ') AS c FROM s),
