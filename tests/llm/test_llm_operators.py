@@ -379,7 +379,7 @@ def test_sliced_benchmarks_match_whole_ones(spark, monkeypatch):
     items = spark.createDataFrame([(i, prose(20, i)) for i in range(9)], "item_id long, text string")
     some = docs(spark, [(i, prose(10, 50 + i) + " " + prose(20, i)) for i in range(9)])
     whole = rows_of(decontam.matches(some, items), "doc_id", "item_id")
-    monkeypatch.setattr(decontam, "SLICE_ITEMS", 2)
+    monkeypatch.setattr(decontam, "SLICE_BYTES", 100_000)  # two items
     assert rows_of(decontam.matches(some, items), "doc_id", "item_id") == whole == [(i, i) for i in range(9)]
     left = decontam.decontaminated(docs(spark, [(5, prose(30, 77)), *((i, prose(20, i)) for i in range(9)), (None, None), (5, prose(30, 77))]), items)
     assert left.columns == docs(spark).columns and rows_of(left, "doc_id", "text") == [(5, prose(30, 77)), (5, prose(30, 77)), (None, None)]

@@ -9,8 +9,14 @@ edited, or cut off by the document's end: at a similarity of 0.8, an item of n
 shingles that don't repeat loses at most n / 5 of them, and a word at an end
 takes one with it, so R = L - floor(n / 5) of the item's L words in a row are
 unchanged. They hold a window of W = g * ((R - g + 1) // g) words wherever the
-occurrence starts. All sub-windows of W words of the item are indexed, so such
-an occurrence has a window that equals one of them bit for bit. An edit
+occurrence starts. Up to ``WHOLE_SIZES`` words W is used as it is, and all
+sub-windows of W words of the item are indexed; longer ones are rounded down to
+a few steps, each half again as long as the one before, so that the work on a
+document doesn't grow with the number of different lengths. As rounded windows
+are shorter than the unchanged run, some runs of ``g`` starts suffice: they lie
+so close that every run of R words holds one of each remainder modulo g. So an
+occurrence with edited ends has a window that equals an indexed one bit for bit,
+and an item has a few dozen windows at most, however long it is. An edit
 further inside costs five shingles and more, which only items of 41 shingles
 (45 words) and more survive; there, the windows beside the edit or those within
 the radius find it.
@@ -22,10 +28,13 @@ found. Candidates within the radius are verified: the item's weighted shingles
 against those of the L words from where the occurrence would start, by exact
 probability Jaccard similarity of 0.8 or more.
 
-The benchmark is dealt into slices of about ``SLICE_ITEMS`` items by a hash.
-The index of a slice is broadcast (its size is bounded by the slice), and each
-slice scans the documents once. With several slices, what one finds is written
-before the next is built, so that one index at a time is held.
+The benchmark is dealt by a hash into slices whose items take at most
+``SLICE_BYTES`` in the index, by the numbers of their windows and words; with the
+tables of the steps an index stays below 64 MB. It is broadcast, and each slice
+scans the documents once. With several slices, what one finds is written before
+the next is built, so that one index at a time is held. A million items of 100
+words are some 1,600 slices and as many scans: this is a plan for benchmarks,
+which are small beside the corpus.
 
 Defined cases: null texts count as empty; an item without words matches
 nothing, one of one to four words matches those words in a row; documents that
@@ -43,7 +52,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veinworks.llm import shingles as S
@@ -54,7 +63,10 @@ THRESHOLD = 0.8
 LOSS = 5
 RADIUS, BLOCK_RADIUS, BLOCKS = 11, 2, 4
 GRID = 8
-SLICE_ITEMS = 1000
+#: Window sizes up to this many words are not rounded; longer items have this many runs of starts at least.
+WHOLE_SIZES, LEAST_RUNS = 88, 5
+#: Bytes of one slice's items in the index, and of one window: 8 for the fingerprint, 16 for its place, 4 for each near value of each block.
+SLICE_BYTES, WINDOW_BYTES = 32_000_000, 24 + 4 * 4 * 137
 MATCHES = "doc_id long, item_id long, word_start long, n_words long, similarity double"
 
 
@@ -80,6 +92,27 @@ def _distinct(row: np.ndarray, item: np.ndarray, start: np.ndarray) -> tuple[np.
     return row[new], item[new], start[new]
 
 
+def _window(length: int) -> tuple[int, int, np.ndarray]:
+    """Grid, window size and the starts of the indexed windows for an item of ``length`` words."""
+    run = length - max(0, length - S.SIZE + 1) // LOSS
+    g = next(x for x in (GRID, 4, 2, 1) if run >= 2 * x - 1)
+    size = g * ((run - g + 1) // g)
+    if size > WHOLE_SIZES:
+        most, size = run - max(g - 1, run // 8), WHOLE_SIZES
+        while (longer := size * 3 // 2 // g * g) <= most:
+            size = longer
+    spare, span = run - size - (g - 1), length - size - (g - 1)
+    runs = max(LEAST_RUNS, -(-span // (spare + 1)) + 1)
+    if runs * g > length - size:
+        return g, size, np.arange(length - size + 1)
+    return g, size, np.unique(np.linspace(0, span, runs).astype(np.int64)[:, None] + np.arange(g))
+
+
+def _index_bytes(words: Column) -> Column:
+    """An upper estimate of what an item of so many words takes in the index: its windows, and its shingles with their weights."""
+    return F.least(words / LOSS + 2 * GRID, F.lit(9 * GRID)) * WINDOW_BYTES + words * 32
+
+
 class Index:
     """The items of one slice: their fingerprints by grid and window size, and their weighted shingles."""
 
@@ -93,12 +126,10 @@ class Index:
         found: dict[tuple[int, int], list] = {}
         for i, n in enumerate(self.length.tolist()):
             if n:
-                run = n - max(0, n - S.SIZE + 1) // LOSS
-                g = next(x for x in (GRID, 4, 2, 1) if run >= 2 * x - 1)
-                size = g * ((run - g + 1) // g)
+                g, size, starts = _window(n)
                 bits = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_bits(word[at[i] : at[i] + n]), axis=0, dtype=np.int32)])
-                own = _fingerprints(bits[size:] - bits[:-size], size)
-                found.setdefault((g, size), []).append((own, np.full(len(own), i), np.arange(len(own))))
+                own = _fingerprints(bits[starts + size] - bits[starts], size)
+                found.setdefault((g, size), []).append((own, np.full(len(own), i), starts))
         self.classes = {}
         near = _near_values()
         for key, parts in found.items():
@@ -108,7 +139,7 @@ class Index:
             for b in range(BLOCKS):
                 value = (blocks[:, b, None] ^ near).ravel()
                 order = np.argsort(value, kind="stable")
-                lists.append((np.searchsorted(value[order], np.arange(2**16 + 1)), (order // len(near)).astype(np.int32)))
+                lists.append((np.searchsorted(value[order], np.arange(2**16 + 1)).astype(np.int32), (order // len(near)).astype(np.int32)))
             self.classes[key] = (prints, item, offset, lists)
 
     def candidates(self, word: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -133,7 +164,7 @@ class Index:
                 values = own.view(np.uint16).reshape(-1, BLOCKS)
                 for b, (start, entries) in enumerate(lists):
                     v = values[:, b].astype(np.int64)
-                    many = start[v + 1] - start[v]
+                    many = (start[v + 1] - start[v]).astype(np.int64)
                     which = np.repeat(np.arange(len(v)), many)
                     entry = entries[np.repeat(start[v] - (np.cumsum(many) - many), many) + np.arange(len(which))]
                     near = np.bitwise_count(own[which] ^ prints[entry]) <= RADIUS
@@ -183,7 +214,15 @@ class Index:
 def _indexes(benchmark: DataFrame, item_id: str, text: str) -> tuple[int, Iterator[Index]]:
     """The number of slices, and their indexes as they are asked for."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where("text is not null").distinct()
-    slices = max(1, -(-items.count() // SLICE_ITEMS))
+    size = items.select("item_id", "text", _index_bytes(F.size(F.regexp_extract_all(F.col("text"), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"), F.lit(0)))).alias("size"))
+    total = size.agg(F.sum("size")).first()[0] or 0
+    slices = max(1, -(-int(total) // SLICE_BYTES))
+    # a hash deals unevenly: add slices until the largest fits, or holds one item
+    while slices > 1:
+        largest = size.groupBy(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices))).agg(F.sum("size").alias("size"), F.count("*").alias("n")).where("n > 1").agg(F.max("size")).first()[0] or 0
+        if largest <= 1.25 * SLICE_BYTES:
+            break
+        slices += -(-slices // 4)
 
     def built() -> Iterator[Index]:
         for k in range(slices):
