@@ -1,11 +1,16 @@
 """Secret scans: candidate strings, and a random forest that removes false positives, in DataFrame functions only.
 
-A candidate is one of three things: a value of six or more characters that is
-assigned (``=`` or ``:``) to a key with a secret word, in quotes with any
-characters, or without quotes up to the next space, quote, comma or semicolon;
-a value of six or more characters with a digit after ``KEY=``; or a run of
-letters, digits and ``+ / _ -`` (and ``=`` at its end) of twelve or more
-characters that holds a digit and isn't itself a key. Its features (``FEATURES``) are its length, shares of character
+A candidate is one of these: the body of a private key block; the password in
+``scheme://user:password@host``; a value of six or more characters that is
+assigned (``=`` or ``:``, with at most two blanks on either side) to a key with a
+secret word, in quotes with any characters, or without quotes up to the next
+space, quote, comma or semicolon; a value of six or more characters with a digit
+after ``KEY=``; the path of a URL of twelve or more characters with a digit; or a
+run of letters, digits and ``+ / _ -`` (and ``=`` at its end) of twelve or more
+characters that holds a digit, isn't itself a key and doesn't begin in a URL's
+host. Shorter values are no candidates. Context is the LEFT characters before
+and the RIGHT ones after; words of over 20 letters are not counted in the
+dictionary. Its features (``FEATURES``) are its length, shares of character
 classes, transitions between classes, entropy, coverage by dictionary words,
 the document's path, and the words before and after it. The dictionary holds a
 fixed list and the words that at least ``COMMON`` of all documents hold, which
@@ -42,19 +47,22 @@ LEFT, RIGHT = 60, 20
 COMMON, WORD_LENGTH = 0.001, 4
 
 # Words that stand near secrets, near harmless identifiers, in paths of tests, and in made-up names.
-SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "private_key", "auth", "bearer", "credential", "credentials", "client_secret")
+SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "private_key", "auth", "bearer", "credential", "credentials", "client_secret", "passwort", "passphrase", "pass", "kennwort", "contrasena", "motdepasse", "secret_key", "signing_key")
 HARMLESS_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "revision", "uuid", "guid", "etag", "version", "order", "invoice", "isbn", "serial", "phone", "card", "account", "build", "hash", "integrity")
 #: A key may go on after its secret word, as in ``password_2`` or ``token-value``.
 _KEY = "(?i:" + "|".join(sorted(SECRET_WORDS, key=len, reverse=True)) + r")(?:[_-][A-Za-z0-9_-]{1,12}|s|[0-9]{1,2})?+"
 _ASSIGNED = r"(?<=[=:]\s{0,2}[\"'`]?)(?<=" + _KEY.replace("?+", "?") + r"[\"'`]?\s{0,2}[=:]\s{0,2}%s)"
 _NO_KEY = r"(?![A-Za-z0-9+/_-]*" + _KEY + r"[\"'`]?\s{0,2}[=:])"
 #: A run of twelve or more characters; the test for a digit comes first, as it fails soonest.
-RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])" + _NO_KEY + r"[A-Za-z0-9+/_-]{12,}+(?:={1,2}(?![A-Za-z0-9+/_=-])|(?!=[A-Za-z0-9+/_-]))"
+RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?<!://[A-Za-z0-9.-]{0,80})" + _NO_KEY + r"[A-Za-z0-9+/_-]{12,}+(?:={1,2}(?![A-Za-z0-9+/_=-])|(?!=[A-Za-z0-9+/_-]))"
 CANDIDATE = "|".join(
     [
+        r"(?<=-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----)[A-Za-z0-9+/=\s]{16,}+(?=-----END)",
+        r"(?<=://[^\s/:@]{1,64}:)[^\s/@]{4,}+(?=@)",
         *(_ASSIGNED % q + rf"[^{q}\r\n]{{6,}}+(?={q})" for q in "\"'`"),
         _ASSIGNED % "" + r"[^\s\"'`,;]{5,}(?<![)\]}])[^\s\"'`,;)\]}]",
         r"(?<=[A-Za-z0-9_-]=)(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{6,}+={0,2}",
+        r"(?<=://[^\s/\"'`<>]{1,80}/)(?=[^\s\"'`<>?#]*[0-9])[A-Za-z0-9+/_.~-]{12,}+",
         RUN,
     ]
 )
@@ -63,7 +71,7 @@ DICTIONARY = ("user", "name", "file", "data", "test", "example", "sample", "your
 #: What stands in place of a secret in prose, templates and code.
 PLACEHOLDERS = ("required", "optional", "string", "none", "null", "undefined", "true", "false", "enter", "please", "must", "missing", "invalid", "expired", "example", "redacted", "secret", "masked", "hidden", "placeholder", "changed", "should", "which", "access", "refresh", "default", "process", "config", "value", "the", "your", "this", "they", "what", "with", "for", "number", "boolean", "integer", "object")
 
-FEATURES = ("length", "digits", "upper", "lower", "signs", "hex", "transitions", "letter_digit", "distinct", "entropy", "repeats", "vowels", "dictionary", "corpus_words", "slashes", "test_path", "secret_before", "harmless_before", "assigned", "quoted", "secret_after", "harmless_after", "spaces", "others", "template", "placeholder")
+FEATURES = ("length", "digits", "upper", "lower", "signs", "hex", "transitions", "letter_digit", "distinct", "entropy", "repeats", "vowels", "dictionary", "corpus_words", "slashes", "test_path", "secret_before", "harmless_before", "assigned", "quoted", "secret_after", "harmless_after", "spaces", "others", "template", "placeholder", "in_url", "key_block")
 
 
 def _count(text: Column, rule: str) -> Column:
@@ -125,12 +133,14 @@ def with_features(findings: DataFrame, words: DataFrame | None = None) -> DataFr
         "spaces": _count(v, " "),
         "others": _count(v, "[^A-Za-z0-9+/_= -]") / n,
         "template": v.rlike(r"[{}<>()\[\]]|\$[A-Za-z]|^%|::|://").cast("double"),
+        "in_url": before.rlike(r"://[^\s/:@]*:$").cast("double"),
+        "key_block": before.rlike(r"private key-----$").cast("double"),
         "placeholder": F.lower(v).rlike(r"^[\W_]*(?:" + "|".join(PLACEHOLDERS) + r")(?![a-z0-9])|\*{3}|(?:^|[_ -])here$|^your|[a-z]\.[a-z]").cast("double"),
     }
     return findings.withColumns({k: made[k] for k in FEATURES if k != "corpus_words"})
 
 
-def builtin_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
+def builtin_findings(spark: SparkSession, rows: int = 8000) -> DataFrame:
     """Labelled findings made from fixed lists and hashes of row numbers, the same on every run."""
     i = F.col("id")
     pick = lambda salt, *of: F.element_at(F.array(*map(F.lit, of)), (F.pmod(F.xxhash64(F.lit(salt), i), F.lit(len(of))) + 1).cast("int"))
@@ -146,6 +156,7 @@ def builtin_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     assign = pick("assign", ' = "', '="', ": ", ' = "', "='", "=")
     name = lambda salt: pick(salt, *DICTIONARY)
     phrase = [pick(f"w{k}", "correct", "horse", "battery", "staple", "river", "orange", "candle", "velvet", "planet", "winter", "copper", "jazz") for k in range(1, 5)]
+    in_url = F.concat(filler, pick("ua", "postgres", "mysql", "https", "redis", "amqp", "ftp"), F.lit("://"), pick("ub", "admin", "root", "app", "deploy", "svc"), F.lit(":"))
     kinds = [
         (1, hexed("a"), F.concat(filler, key, assign)),
         (1, mixed("b"), F.concat(filler, key, assign)),
@@ -175,9 +186,19 @@ def builtin_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (0, F.repeat(pick("b1", "*", "x", ".", "-"), number("b2", 6, 14)), F.concat(filler, key, assign)),
         (0, F.concat(numbers("c1", 6, 11), pick("c2", "", "", "px", "ms")), F.concat(filler, pick("c3", "id", "width", "size", "page", "order", "time", "v"), F.lit("="))),
         (0, F.concat(name("d1"), number("d2", 1, 999).cast("string")), F.concat(filler, pick("d3", "name", "ref", "src", "utm", "lang", "class"), F.lit("="))),
+        (1, F.concat(phrase[0], phrase[1], phrase[2]), F.concat(filler, key, assign)),
+        (1, F.concat(pick("m1", "garden", "tiger", "Berlin", "summer", "guitar", "Paris", "coffee"), pick("m2", "", "light", "house", "moon", "bird"), number("m3", 1, 99).cast("string")), F.concat(filler, key, assign)),
+        (1, F.when(number("n1", 0, 1) == 0, mixed("n2").substr(1, 14)).otherwise(F.concat(phrase[1], number("n3", 1, 99).cast("string"), phrase[3])), in_url),
+        (0, F.concat(pick("o5", "password", "pass", "secret", "pwd", "xxxx", "****", "<pw>", "${PW}")), in_url),
+        (1, F.concat(F.lit("\n"), mixed("p1"), mixed("p2"), F.lit("\n"), mixed("p3"), F.lit("==\n")), F.concat(filler, pick("p4", "-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY-----"))),
+        (1, F.concat(pick("q5", "services/", "hook/", "api/v1/"), F.upper(hexed("q6").substr(1, 9)), F.lit("/"), mixed("q7")), F.concat(filler, F.lit("https://hooks."), name("q8"), F.lit(".com/"))),
+        (0, F.concat(name("r3"), F.lit("/"), name("r4"), pick("r5", "/2024/", "-12/", "/v2/", "/page/"), name("r6"), pick("r7", ".html", "/", "", ".pdf")), F.concat(filler, F.lit("https://www."), name("r8"), F.lit(".org/"))),
+        (0, F.concat(name("t4"), F.lit("-"), name("t5"), F.lit("-"), number("t6", 100, 99999).cast("string")), F.concat(filler, F.lit("https://"), name("t7"), F.lit(".net/"))),
     ]
     path = pick("path", "src0", "src7", "app/config.py", "deploy/values.yaml", "src/main.rs", "tests/test_auth.py", "docs/example.md", "", "web/index.html")
     after = F.concat(pick("after", '"', "' ", " ", "\n", "!! ", "### "), word("af"))
+    # what follows a URL's password or a key block is given by the rule that found it
+    after = F.when(F.pmod(i, F.lit(len(kinds))).isin([k for k, x in enumerate(kinds) if x[2] is in_url]), F.concat(F.lit("@"), word("ah"))).otherwise(after)
     made, some = None, 7  # a projection of all kinds at once is too long to compile
     for first in range(0, len(kinds), some):
         kind = F.pmod(i, F.lit(len(kinds)))
