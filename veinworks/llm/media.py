@@ -4,7 +4,7 @@
 each chunk with its CRC-32, and for each row the filter of None, Sub and Up
 that leaves the least differences. ``decode_png`` tests the signature, every chunk's
 checksum, the header and the length of the data, and undoes all five row
-filters with numpy. ``dct_hash`` takes the 8 x 8 lowest frequencies of the
+filters with numpy. ``dct_hash`` takes the 64 lowest frequencies of the
 two-dimensional cosine transform, without the constant one, and keeps for
 each whether it is above their median: 64 bits in a binary column.
 
@@ -32,7 +32,8 @@ from veinworks.llm.storage import checkpointed
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 NONE, SUB, UP, AVERAGE, PAETH = range(5)
 WIDTH = 64
-FREQUENCIES = 8
+#: Frequencies computed in each direction; the 64 lowest after the constant one have sums of up to 10.
+FREQUENCIES = 11
 
 
 class MediaError(ValueError):
@@ -101,12 +102,18 @@ def decode_png(data: bytes) -> np.ndarray:
         kind, body = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
         if at + 12 + n > len(data) or zlib.crc32(kind + body) != struct.unpack_from(">I", data, at + 8 + n)[0]:
             raise MediaError(f"the checksum of chunk {kind!r} is wrong")
+        if (kind == b"IHDR") != (at == 8):
+            raise MediaError("the header isn't the first chunk, or is there twice")
         at += 12 + n
         if kind == b"IHDR":
+            if n != 13:
+                raise MediaError(f"a header of {n} bytes")
             header = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             packed.append(body)
         ended = kind == b"IEND"
+    if at != len(data):
+        raise MediaError("data after the end")
     if header is None or not ended or header[2:] != (8, 0, 0, 0, 0):
         raise MediaError("not a whole 8-bit greyscale image")
     width, height = header[:2]
@@ -156,15 +163,25 @@ def _swept(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out[1:, 1:].astype(np.uint8)
 
 
+def _lowest() -> tuple[np.ndarray, np.ndarray]:
+    """The places of the 64 frequencies of least sum after the constant one, in that order."""
+    i, j = np.divmod(np.arange(FREQUENCIES**2), FREQUENCIES)
+    order = np.lexsort((i, i + j))[1:65]
+    return i[order], j[order]
+
+
+_LOWEST = _lowest()
+
+
 def _cosines(n: int) -> np.ndarray:
     return np.cos(np.pi / n * np.outer(np.arange(FREQUENCIES), np.arange(n) + 0.5))
 
 
 def dct_hash(pixels: np.ndarray) -> bytes:
-    """64 bits: which of the lowest frequencies are above their median."""
+    """64 bits: which of the 64 lowest frequencies, the constant one aside, are above their median."""
     low = _cosines(pixels.shape[0]) @ pixels.astype(np.float64) @ _cosines(pixels.shape[1]).T
-    values = np.round(low.ravel() / pixels.size, 6)
-    return np.packbits(values > np.median(values[1:])).tobytes()
+    values = np.round(low[_LOWEST] / pixels.size, 6)
+    return np.packbits(values > np.median(values)).tobytes()
 
 
 def payload(text: str | None) -> tuple[bytes, int]:

@@ -21,6 +21,8 @@ from veinworks.llm.storage import checkpointed
 #: Fixed value: the multiplier of the published generator.
 MULTIPLIER = 2862933555777941757
 LOW = 0xFFFFFFFF
+#: Equal rows that one task makes at a time.
+PART = 1_000_000
 
 
 def stable_key(key: Column) -> Column:
@@ -84,8 +86,12 @@ def shard_slots(df: DataFrame, shards: int, key: str = "doc_id", text: str = "te
     cells = placed.groupBy("shard", "_a", "_b").agg(F.sum("_copies").alias("_n"))
     base = cells.withColumn("_base", F.sum("_n").over(Window.partitionBy("shard").orderBy("_a", "_b")) - F.col("_n")).drop("_n")
     found = ranked.join(base, ["shard", "_a", "_b"])
-    last = F.col("_base") + F.col("_end")
-    slots = F.explode(F.sequence(last - F.col("_copies"), last - 1)).alias("slot")
+    found = found.withColumn("_first", F.col("_base") + F.col("_end") - F.col("_copies"))
+    if (placed.agg(F.max("_copies")).first()[0] or 0) > PART:
+        # very many equal rows are dealt out before they are made
+        parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(PART).cast("long"))).alias("_from")
+        found = found.select("*", parts).withColumns({"_first": F.col("_first") + F.col("_from"), "_copies": F.least(F.col("_copies") - F.col("_from"), F.lit(PART))}).repartition("shard", "_first")
+    slots = F.explode(F.sequence("_first", F.col("_first") + F.col("_copies") - 1)).alias("slot")
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slots, "grown_shard")
 
 
