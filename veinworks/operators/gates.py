@@ -64,13 +64,27 @@ def with_stages(rows: DataFrame, stages: dict[str, str] = STAGES) -> DataFrame:
     return rows.withColumns(flags)
 
 
+def _reached(rows: DataFrame, depth: Column, steps: int, **keys: str) -> DataFrame:
+    """(step, rows, <keys>): rows of at least each depth from 1 to ``steps``, and the distinct values of each key among them; ``total`` counts all rows.
+
+    A key's value counts at every step up to its greatest depth, so rows are reduced to that before the shuffle: nothing is
+    counted distinctly, and a key is shuffled once whatever the number of steps.
+    """
+    kinds = [F.struct(F.lit(name).alias("kind"), F.col(key).cast("string").alias("key")) for name, key in keys.items()]
+    each = rows.withColumn("_depth", depth).select("_depth", F.inline(F.array(F.struct(F.lit("rows").alias("kind"), F.col("_depth").cast("string").alias("key")), *kinds)))
+    most = each.where("key IS NOT NULL").groupBy("kind", "key").agg(F.max("_depth").alias("depth"), F.count("*").alias("n"))
+    counts = most.groupBy("kind", "depth").agg(F.count("*").alias("keys"), F.sum("n").alias("n"))
+    sums = counts.agg(*(F.coalesce(F.sum(F.when((F.col("kind") == k) & (F.col("depth") >= i), F.col("n" if k == "rows" else "keys"))), F.lit(0)).alias(f"{k}_{i}") for i in range(steps + 1) for k in ("rows", *keys)))
+    table = F.array(*(F.struct(F.lit(i).alias("step"), F.col("rows_0").alias("total"), *(F.col(f"{k}_{i}").alias(k) for k in ("rows", *keys))) for i in range(1, steps + 1)))
+    return sums.select(F.inline(table))
+
+
 def stage_table(rows: DataFrame, stages: dict[str, str] = STAGES) -> DataFrame:
-    """One row per stage, from one pass: rows kept, retention, and distinct claims, documents and families."""
-    reached = with_stages(rows, stages).select("claim_id", "doc_id", "family_id", F.explode(F.array_compact(F.array(*(F.when(F.col(s), s) for s in stages)))).alias("stage"))
-    total = rows.agg(F.count("*").alias("_total"))
-    counts = reached.groupBy("stage").agg(F.count("*").alias("rows"), F.countDistinct("claim_id").alias("claims"), F.countDistinct("doc_id").alias("docs"), F.countDistinct("family_id").alias("families"))
-    # the total is one row
-    return counts.join(F.broadcast(total)).select("stage", "rows", F.round(F.col("rows") / F.col("_total"), 6).alias("retention"), "claims", "docs", "families")
+    """One row per stage that rows reach, from one pass: rows kept, retention, and distinct claims, documents and families."""
+    names = list(stages)
+    depth = sum((F.col(s).cast("int") for s in names), F.lit(0))
+    found = _reached(with_stages(rows, stages), depth, len(names), claims="claim_id", docs="doc_id", families="family_id").where("rows > 0")
+    return found.select(F.get(F.array(*map(F.lit, names)), F.col("step") - 1).alias("stage"), "rows", F.round(F.col("rows") / F.col("total"), 6).alias("retention"), "claims", "docs", "families")
 
 
 def funnel(rows: DataFrame, stages: dict[str, str] = STAGES) -> DataFrame:
@@ -82,9 +96,11 @@ def funnel(rows: DataFrame, stages: dict[str, str] = STAGES) -> DataFrame:
 
 
 def threshold_sensitivity(rows: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
-    """Rows, claims and documents at or above each threshold of ``q``."""
-    at = rows.select("claim_id", "doc_id", F.explode(F.array_compact(F.array(*(F.when(F.col("q") >= t, F.lit(t)) for t in thresholds)))).alias("threshold"))
-    return at.groupBy("threshold").agg(F.count("*").alias("rows"), F.countDistinct("claim_id").alias("claims"), F.countDistinct("doc_id").alias("docs"))
+    """Rows, claims and documents at or above each threshold of ``q`` that any row reaches."""
+    ordered = sorted(thresholds)
+    depth = sum((F.coalesce(F.col("q") >= t, F.lit(False)).cast("int") for t in ordered), F.lit(0))
+    found = _reached(rows, depth, len(ordered), claims="claim_id", docs="doc_id").where("rows > 0")
+    return found.select(F.get(F.array(*map(F.lit, ordered)), F.col("step") - 1).alias("threshold"), "rows", "claims", "docs")
 
 
 def coverage(rows: DataFrame, units: int, docs: int, families: int) -> DataFrame:

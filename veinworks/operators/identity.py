@@ -52,6 +52,19 @@ def rule(name: str, severity: str, rows: DataFrame, violated: Column, example: C
     return told.join(F.broadcast(worst)).select(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), "evaluated", "violations", "examples")
 
 
+def rules(rows: DataFrame, checks: list[tuple[str, str, Column, Column]]) -> DataFrame:
+    """Several rules (name, severity, violated, example) over the same rows, as ``rule`` gives them, in two passes over all.
+
+    Counts are one conditional aggregation. Examples of violations are ranked by rule; ranking keeps the first eight of
+    each task before the shuffle.
+    """
+    names = F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity"), F.col("_n").alias("evaluated"), F.col(f"_v{i}").alias("violations")) for i, (n, s, _, _) in enumerate(checks)))
+    told = rows.agg(F.count("*").alias("_n"), *(F.count_if(v).alias(f"_v{i}") for i, (_, _, v, _) in enumerate(checks))).select(F.inline(names))
+    broken = rows.select(F.explode(F.array_compact(F.array(*(F.when(v, F.struct(F.lit(n).alias("rule"), e.cast("string").alias("_e"))) for n, _, v, e in checks)))).alias("_b")).select("_b.*")
+    first = broken.withColumn("_r", F.dense_rank().over(Window.partitionBy("rule").orderBy("_e"))).where("_r <= 8").groupBy("rule").agg(F.array_join(F.array_sort(F.collect_set("_e")), ",").alias("examples"))
+    return told.join(F.broadcast(first), "rule", "left").select("rule", "severity", "evaluated", "violations", F.coalesce("examples", F.lit("")).alias("examples"))
+
+
 def report(rules: list[DataFrame]) -> DataFrame:
     """All rules, each with whether it blocks a release."""
     return reduce(DataFrame.unionByName, rules).withColumn("blocking", (F.col("severity") == "error") & (F.col("violations") > 0))

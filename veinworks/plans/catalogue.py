@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veinworks.functions.storage import checkpointed
 from veinworks.operators import evaluation, gates, graph, identity, lexical, retrieval, support
 from veinworks.plans.bindings import ASSERTIONS, EDGES, RUNS, SCORED, assertions, edges, ranked_runs, table
 
@@ -243,7 +244,9 @@ def constraint_report(spark, sf_dir):
     rows = assertions(spark, sf_dir)
     parts = table(spark, sf_dir, "part").join(table(spark, sf_dir, "lineitem").select("l_partkey").distinct(), F.col("l_partkey") == F.col("p_partkey"), "left")
     sources = {"unique_ids": rows.groupBy("triple_id").agg(F.count("*").alias("n")), "claim_has_evidence": parts}
-    return identity.report([identity.rule(name, severity, sources.get(name, rows), F.expr(test), F.col(example)) for name, severity, _, test, example in _RULES])
+    check = lambda name, severity, test, example: (name, severity, F.expr(test), F.col(example))
+    alike = [check(n, s, t, e) for n, s, _, t, e in _RULES if n not in sources]
+    return identity.report([identity.rules(rows, alike), *(identity.rules(sources[n], [check(n, s, t, e)]) for n, s, _, t, e in _RULES if n in sources)])
 
 
 #: The fields of a record that a release must not change.
@@ -398,6 +401,11 @@ def page_table(spark, sf_dir):
 _SEEDS = "seeds AS (SELECT DISTINCT a AS node FROM edges WHERE a IN ('S-1', 'S-2', 'S-3'))"
 
 
+def _links(spark, sf_dir):
+    """Links written once, since every step reads them."""
+    return checkpointed(edges(spark, sf_dir))
+
+
 def _seeds(links):
     return links.where(F.col("a").isin("S-1", "S-2", "S-3")).select(F.col("a").alias("node")).distinct()
 
@@ -406,7 +414,7 @@ def _seeds(links):
 h2 AS (SELECT DISTINCT b AS node FROM edges JOIN h1 ON a = node WHERE b NOT IN (SELECT node FROM seeds UNION SELECT node FROM h1))
 SELECT node, 0 AS hop FROM seeds UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2""")
 def hop2_pool(spark, sf_dir):
-    links = edges(spark, sf_dir)
+    links = _links(spark, sf_dir)
     return graph.hops(links, _seeds(links), 2)
 
 
@@ -415,7 +423,7 @@ s1 AS (SELECT node, max(score) AS score FROM (FROM s0 UNION ALL FROM n1) GROUP B
 n2 AS (SELECT b AS node, max(score) * 0.5 AS score FROM edges JOIN f1 ON a = node GROUP BY b)
 SELECT node, CAST(max(score) AS double) AS score FROM (FROM s1 UNION ALL FROM n2) GROUP BY node""")
 def hop_scores(spark, sf_dir):
-    links = edges(spark, sf_dir)
+    links = _links(spark, sf_dir)
     return graph.hop_scores(links, _seeds(links).withColumn("score", F.lit(1.0)), 2, 0.5)
 
 
@@ -428,14 +436,14 @@ def _ppr_sql(rounds: int) -> str:
 
 @query(_ppr_sql(3).replace("0.15::double", "(1 - 0.85::double)"))
 def ppr_rounds(spark, sf_dir):
-    links = edges(spark, sf_dir)
+    links = _links(spark, sf_dir)
     # sums come in any order; the offset moves exact fractions away from the middle between two roundings
     return graph.pagerank(links, _seeds(links), 3).select("node", F.round(F.col("rank") + 1e-9, 6).alias("rank"))
 
 
 @query(_ppr_sql(12).replace("0.15::double", "(1 - 0.85::double)"))
 def ppr(spark, sf_dir):
-    links = edges(spark, sf_dir)
+    links = _links(spark, sf_dir)
     return graph.pagerank(links, _seeds(links), 12).select("node", F.round(F.col("rank") + 1e-9, 6).alias("rank"))
 
 
