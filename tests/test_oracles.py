@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from veinworks.plans import catalogue, catalogue_bundles, catalogue_candidates, catalogue_contracts, catalogue_curation, catalogue_evaluation, catalogue_mapping, catalogue_pages, catalogue_records  # noqa: F401  the others register their queries in the first
+from veinworks.plans import catalogue, catalogue_bundles, catalogue_candidates, catalogue_competency, catalogue_contracts, catalogue_curation, catalogue_evaluation, catalogue_mapping, catalogue_pages, catalogue_records  # noqa: F401  the others register their queries in the first
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -16,6 +16,23 @@ REASONS = {
     "low_confidence": "confidence < 0.93",
     "no_family": "family_id IS NULL",
 }
+#: All reasons against a record's release, in order, as predicates of its columns; ``frozen`` tells whether its document is of the build set.
+RELEASE_REASONS = {
+    "decision_not_silver": "decision NOT IN ('silver_candidate', 'accepted_silver')",
+    "document_split_not_build_train": "split <> 'build_train'",
+    "doc_id_not_frozen_build_set": "NOT frozen",
+    "evidence_level_not_e1_e2": "level NOT IN ('E1', 'E2')",
+    "inferred_edge": "coalesce(inferred, false)",
+    "missing_claim_id": "coalesce(trim(claim_id), '') = ''",
+    "missing_doc_id": "coalesce(trim(doc_id), '') = ''",
+    "missing_source_family_id": "coalesce(trim(family_id), '') = ''",
+    "relation_type_invalid": "NOT relation_type_valid",
+    "relation_entailment_not_entailed": "status <> 'entailed'",
+    "evidence_invalid": "NOT evidence_valid",
+    "evidence_not_silver_eligible": "NOT evidence_silver",
+    "entailment_not_silver_eligible": "NOT entailment_silver",
+    "heuristic_score_below_minimum": "q < {minimum}",
+}
 #: The gates of the stages, each on top of those before it.
 STAGES = {
     "B0": "true",
@@ -31,6 +48,14 @@ def with_reasons(rows: DataFrame, reasons: dict[str, str] = REASONS) -> DataFram
     return rows.withColumn("reasons", F.array_compact(F.array(*(F.when(F.coalesce(F.expr(test), F.lit(True)), name) for name, test in reasons.items()))))
 
 
+def release_reasons(rows: DataFrame, build_docs: DataFrame, minimum: float) -> DataFrame:
+    """Add ``reasons`` by RELEASE_REASONS; ``build_docs`` (doc_id) are the documents of the frozen build set. A predicate that is null fails."""
+    known = build_docs.select(F.col("doc_id").cast("string").alias("_doc")).distinct().withColumn("_frozen", F.lit(True))
+    texts = rows.withColumns({c: F.col(c).cast("string") for c in ("claim_id", "doc_id", "family_id")})
+    joined = texts.join(known, texts["doc_id"] == known["_doc"], "left").withColumn("frozen", F.coalesce("_frozen", F.lit(False)))
+    return with_reasons(joined, {n: t.format(minimum=minimum) for n, t in RELEASE_REASONS.items()}).drop("_doc", "_frozen", "frozen")
+
+
 def released(*ids: str) -> Column:
     """Whether a row is direct, entailed build-split evidence of the first two levels whose ids aren't blank; null is no."""
     named = F.lit(True)
