@@ -29,6 +29,44 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame
     return joined.select("query_id", F.round(F.col("hits") / F.col("wanted"), 6).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.round(F.when(F.col("returned") > 0, F.col("dcg") / ideal).otherwise(0.0), 6).alias("ndcg"))
 
 
+def query_records(runs: DataFrame, ranked: DataFrame, relevant: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Per method and query with relevant rows, over its first run: recall, mrr, ndcg, families, redundancy and pairwise overlap of ends.
+
+    ``runs`` (method, query_id, run) and ``ranked`` (method, query_id, run, rank, evidence_id) hold all runs; the first is
+    the one of least ``run``. A run without rows scores 0. ``candidates`` holds evidence_id, claim_id, family_id and the
+    array ``ends``; rows it lacks count for recall and rank, but not for families, claims and overlaps.
+    """
+    keys = ["method", "query_id"]
+    first = runs.groupBy(*keys).agg(F.min("run").alias("run"))
+    wanted = relevant.groupBy("query_id").agg(F.countDistinct("evidence_id").alias("wanted"))
+    rows = first.join(wanted, "query_id").join(ranked, [*keys, "run"], "left")
+    judged = rows.join(relevant.select("query_id", "evidence_id", F.lit(1).alias("hit")).distinct(), ["query_id", "evidence_id"], "left").join(candidates, "evidence_id", "left")
+    gain = F.when(F.col("hit") == 1, 1 / F.log2(F.col("rank") + 1))
+    per = judged.groupBy(*keys, "wanted").agg(
+        F.count("evidence_id").alias("returned"), F.count("hit").alias("hits"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"), F.coalesce(F.sum(gain), F.lit(0.0)).alias("dcg"), F.countDistinct("family_id").alias("families"), F.countDistinct("claim_id").alias("_claims"), F.count("claim_id").alias("_known")
+    )
+    side = judged.where("claim_id IS NOT NULL").select(*keys, "rank", F.array_remove(F.array_distinct("ends"), "").alias("ends"))
+    other = side.select(*keys, F.col("rank").alias("_r"), F.col("ends").alias("_e"))
+    share = F.size(F.array_intersect("ends", "_e")) / F.greatest(F.lit(1), F.size(F.array_union("ends", "_e")))
+    overlap = side.join(other, keys).where("rank < _r").groupBy(*keys).agg(F.avg(share).alias("_overlap"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least("wanted", "returned")).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    return per.join(overlap, keys, "left").select(
+        *keys, "returned", F.round(F.col("hits") / F.col("wanted"), 6).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.round(F.when(F.col("returned") > 0, F.col("dcg") / ideal).otherwise(0.0), 6).alias("ndcg"),
+        "families", F.round(F.when(F.col("_known") > 0, 1 - F.col("_claims") / F.col("_known")).otherwise(0.0), 6).alias("redundancy"), F.round(F.coalesce("_overlap", F.lit(0.0)), 6).alias("overlap"),
+    )
+
+
+def retrieval_report(runs: DataFrame, records: DataFrame, counters: tuple[str, ...] = ()) -> DataFrame:
+    """Per method: macro means of ``query_records`` over its answerable queries, and latency, time-outs and counters over all runs (method, latency, timed_out, counters)."""
+    mean = lambda c: F.round(F.avg(c), 6).alias(c)
+    quality = records.groupBy("method").agg(F.count("*").alias("queries"), *(mean(c) for c in ("recall", "mrr", "ndcg", "families", "redundancy", "overlap")))
+    counts = runs.groupBy("method").agg(F.count("*").alias("samples"), F.count_if("timed_out").alias("timeouts"), *(mean(c) for c in counters))
+    times = exact_quantiles(runs, ("method",), "latency", (0.5, 0.95)).select("method", F.round("q0", 6).alias("p50"), F.round("q1", 6).alias("p95"))
+    joined = counts.join(times, "method", "left").join(quality, "method", "left")
+    zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("recall", "mrr", "ndcg", "families", "redundancy", "overlap")}
+    return joined.withColumns(zero | {"queries": F.coalesce("queries", F.lit(0))})
+
+
 def latency_table(runs: DataFrame, *by: str, most: int = MOST) -> DataFrame:
     """Count, mean, and exact interpolated median and 95th percentile; groups of more than ``most`` runs are never in one task."""
     found = exact_quantiles(runs, by, "latency", (0.5, 0.95), most)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veinworks.operators import bundles, evaluation, retrieval, skyline
 from veinworks.plans.bindings import RUNS, SCORED, ranked_runs, table
-from veinworks.plans.catalogue import _HYBRID, _hybrid, _labels, query, scored
+from veinworks.plans.catalogue import _HYBRID, _dense, _hybrid, _labels, query, scored
 
 REFERENCE, PROPOSED, REPLICATES, MARGIN = "click", ["error", "view"], 100, 0.4
 
@@ -82,6 +82,47 @@ def bootstrap_pages(spark, sf_dir):
     return bundles.favourable(evaluation.bootstrap_ratio_gap(pages, 50))
 
 
+# --- retrieval reports -----------------------------------------------------------------------------
+
+#: Two methods with two runs a query: the first is reported, the second, half as long a list, only counts for latency.
+_RUNS = f"""{_HYBRID}, dense AS (SELECT query_id, evidence_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, evidence_id) AS rank FROM d),
+listed AS (SELECT 'dense' AS method, query_id, run, rank, evidence_id FROM dense, range(2) r(run) WHERE rank <= 10 - 5 * run UNION ALL SELECT 'hybrid', query_id, run, rank, evidence_id FROM ranked, range(2) r(run) WHERE rank <= 10 - 5 * run AND query_id % 100 <> 40),
+runs AS (SELECT method, vec_id AS query_id, run, CAST((vec_id * 37 + run * 11 + length(method)) % 101 AS double) AS latency, (vec_id + run) % 9 = 0 AS timed_out, vec_id % 50 AS scored FROM embeddings, (VALUES ('dense'), ('hybrid')) m(method), range(2) r(run) WHERE vec_id % 20 = 0),
+rel AS (SELECT q.vec_id AS query_id, e.vec_id AS evidence_id FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0 AND q.vec_id % 60 <> 0),
+cand AS (SELECT vec_id AS evidence_id, vec_id % 11 AS claim_id, vec_id % 7 AS family_id, list_distinct(['h' || vec_id % 5, 't' || vec_id % 3]) AS ends FROM embeddings WHERE vec_id % 13 <> 0),
+j AS (SELECT r.*, rel.evidence_id IS NOT NULL AS hit, claim_id, family_id, ends FROM listed r LEFT JOIN rel USING (query_id, evidence_id) LEFT JOIN cand USING (evidence_id) WHERE run = 0),
+w AS (SELECT query_id, count(*) AS wanted FROM rel GROUP BY query_id),
+g AS (SELECT method, query_id, count(evidence_id) AS returned, coalesce(count_if(hit), 0) AS hits, min(CASE WHEN hit THEN rank END) AS first, coalesce(sum(CASE WHEN hit THEN 1 / log2(rank + 1) END), 0) AS dcg, count(DISTINCT family_id) AS families, count(DISTINCT claim_id) AS claims, count(claim_id) AS known FROM (SELECT DISTINCT method, query_id FROM runs) LEFT JOIN j USING (method, query_id) GROUP BY ALL),
+o AS (SELECT a.method, a.query_id, avg(len(list_intersect(a.ends, b.ends)) / len(list_distinct(list_concat(a.ends, b.ends)))) AS overlap FROM j a JOIN j b ON a.method = b.method AND a.query_id = b.query_id AND a.rank < b.rank WHERE a.claim_id IS NOT NULL AND b.claim_id IS NOT NULL GROUP BY ALL),
+records AS (SELECT method, query_id, returned, round(hits / wanted, 6) AS recall, round(coalesce(1 / first, 0), 6) AS mrr, round(CASE WHEN returned > 0 THEN dcg / list_sum(list_transform(range(1, least(wanted, returned) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END, 6) AS ndcg, families, round(CASE WHEN known > 0 THEN 1 - claims / known ELSE 0 END, 6) AS redundancy, round(coalesce(overlap, 0), 6) AS overlap FROM g JOIN w USING (query_id) LEFT JOIN o USING (method, query_id))"""
+
+
+def _reported(spark, sf_dir):
+    """Runs, and the records of their first ones."""
+    vectors, run = table(spark, sf_dir, "embeddings"), F.explode(F.array(F.lit(0), F.lit(1))).alias("run")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.explode(F.array(F.lit("dense"), F.lit("hybrid"))).alias("method")).select("*", run)
+    runs = asked.selectExpr("method", "query_id", "run", "CAST((query_id * 37 + run * 11 + length(method)) % 101 AS double) AS latency", "(query_id + run) % 9 = 0 AS timed_out", "query_id % 50 AS scored")
+    lists = _dense(spark, sf_dir, 10).select(F.lit("dense").alias("method"), "query_id", "rank", "evidence_id").unionByName(_hybrid(spark, sf_dir, 10).where("query_id % 100 <> 40").select(F.lit("hybrid").alias("method"), "query_id", "rank", "evidence_id"))
+    ranked = lists.select("*", run).where("rank <= 10 - 5 * run")
+    labels = _labels(spark, sf_dir)
+    relevant = labels.where("evidence_id % 20 = 0 AND evidence_id % 60 <> 0").select(F.col("evidence_id").alias("query_id"), "label").join(labels, "label").where("query_id <> evidence_id").select("query_id", "evidence_id")
+    candidates = vectors.where("vec_id % 13 <> 0").selectExpr("vec_id AS evidence_id", "vec_id % 11 AS claim_id", "vec_id % 7 AS family_id", "array(concat('h', vec_id % 5), concat('t', vec_id % 3)) AS ends")
+    return runs, evaluation.query_records(runs, ranked, relevant, candidates)
+
+
+@query(f"WITH {_RUNS} SELECT * FROM records")
+def query_records(spark, sf_dir):
+    return _reported(spark, sf_dir)[1]
+
+
+@query(f"""WITH {_RUNS}, c AS (SELECT method, count(*) AS samples, CAST(count_if(timed_out) AS bigint) AS timeouts, round(avg(scored), 6) AS scored, round(quantile_cont(latency, 0.5), 6) AS p50, round(quantile_cont(latency, 0.95), 6) AS p95 FROM runs GROUP BY method)
+SELECT c.*, queries, recall, mrr, ndcg, families, redundancy, overlap FROM c JOIN (SELECT method, count(*) AS queries, {', '.join(f'round(avg({x}), 6) AS {x}' for x in ('recall', 'mrr', 'ndcg', 'families', 'redundancy', 'overlap'))} FROM records GROUP BY method) USING (method)""")
+def retrieval_report(spark, sf_dir):
+    """Means over answerable queries of first runs, latencies over all runs."""
+    runs, records = _reported(spark, sf_dir)
+    return evaluation.retrieval_report(runs, records, ("scored",))
+
+
 # --- grids and fronts -------------------------------------------------------------------
 
 GRID = [(i, b, p, cap) for i, (b, p, cap) in enumerate((b, p, cap) for b in (0.0, 0.05, 0.2) for p in (0.0, 0.2, 0.5) for cap in (1, 2))]
