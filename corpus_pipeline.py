@@ -14,14 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veinworks.llm import decontam, neardup, packing, quality, secret_scan
 from veinworks.llm.queries import tokenizer_file
-from veinworks.llm.storage import checkpoint_dir, checkpointed, scratch, small_batches, table
+from veinworks.llm.storage import checkpoint_dir, checkpointed, deleted, scratch, small_batches, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labels that aren't held out."""
     labels = table(spark, sf_dir, "labels")
-    known = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    model = quality.fitted(checkpointed(quality.with_statistics(known)), labels)
+    model = quality.fitted(checkpointed(quality.with_statistics(quality.training_rows(docs, labels))), labels)
     return quality.accepted(docs, model)
 
 
@@ -60,12 +59,15 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder as Parquet and read again.
 
-    A stage's intermediate tables are deleted when it is written.
+    A stage's intermediate tables, and the result that it read, are deleted when it is written.
     """
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}-{name}"
         with scratch(), small_batches(spark):
-            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            deleted(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veinworks.functions.storage import checkpoint_dir, checkpointed, discard, scratch, small_batches
 
-__all__ = ["checkpoint_dir", "checkpointed", "discard", "released", "scratch", "shared_folder", "small_batches", "table"]
+__all__ = ["checkpoint_dir", "checkpointed", "deleted", "discard", "released", "scratch", "shared_folder", "small_batches", "table"]
 
 
 def released(spark: SparkSession) -> None:
@@ -23,6 +23,12 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for plain files, mounted at the same path on the driver and every executor."""
     url = urlparse(checkpoint_dir(spark))
