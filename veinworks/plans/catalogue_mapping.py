@@ -59,15 +59,15 @@ def _base(spark, sf_dir):
     return checkpointed(base.withColumns({n: F.expr(e) for n, e in _PROPOSED.items()}))
 
 
-def _hits(spark, sf_dir, base):
+def _hits(spark, sf_dir, base, by_rule=False):
     parts = table(spark, sf_dir, "part")
     aliases = parts.where("p_partkey % 97 = 0").selectExpr(*(f"{e} AS {n}" for n, e in _ALIAS.items()))
-    return mapping.fault_hits(base, aliases, PATTERNS, VETOES)
+    return mapping.fault_hits(base, aliases, PATTERNS, VETOES, by_rule)
 
 
 @query(f"WITH {_BASE} SELECT * FROM hits")
 def fault_hits(spark, sf_dir):
-    return _hits(spark, sf_dir, _base(spark, sf_dir))
+    return _hits(spark, sf_dir, _base(spark, sf_dir), by_rule=True)
 
 
 @query(f"WITH {_BASE} SELECT candidate_id, start, \"end\", matched, array_to_string(list_sort(list(DISTINCT fault_id)), ',') AS fault_ids FROM hits GROUP BY candidate_id, start, \"end\", matched HAVING count(DISTINCT fault_id) > 1")
