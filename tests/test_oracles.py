@@ -39,3 +39,19 @@ def test_query(spark, duck, name):
     assert len(rows) == len(want)
     wrong = [(a, b) for a, b in zip(rows, want, strict=True) if not all(map(same, a, b))]
     assert not wrong, wrong[:3]
+
+
+def test_words_end_at_letters_beyond_ascii_as_in_sql(spark, duck):
+    from veinworks.operators import curation, validation
+    from veinworks.plans.catalogue_records import _CLASSES, _VETOES
+
+    texts = ["lesé", "les", "éles o", "blés", "the_", "né der!", "seaé", r"a\b", "œuf 12", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    duck.execute("CREATE OR REPLACE TEMP TABLE documents AS SELECT * FROM (VALUES " + ", ".join(f"({i}, ${i + 1})" for i in range(len(texts))) + ") t(doc_id, text)", texts)
+    want = duck.execute(catalogue.ORACLES["fault_mapping"]).fetchall()
+    got = validation.classified(rows, "doc_id", "text", _CLASSES, _VETOES).selectExpr("doc_id", "array_join(classes, ',')")
+    duck.execute("DROP TABLE temp.documents")
+    assert sorted(map(tuple, got.collect())) == sorted(want) and dict(want)[0] == "wear"
+    marketing = "all rights reserved, contact us " * 4
+    pages = spark.createDataFrame([(marketing + "pumpé",), (marketing + "épump",), (marketing + "xpump",)], "text string")
+    assert [r[0] for r in pages.select(curation.is_low_value(pages["text"])).collect()] == [False, False, True]

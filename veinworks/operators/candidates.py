@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veinworks.functions.patterns import ascii_edges
 from veinworks.operators.gates import LEVEL_WEIGHTS, weight
 from veinworks.operators.identity import normalised
 from veinworks.operators.validation import located, redirected, typed
@@ -91,7 +92,7 @@ def entailment(cues: dict[str, str]) -> Column:
     """
     cue = F.lit(False)
     for relation, pattern in cues.items():
-        cue = cue | (_yes(F.col("relation") == relation) & _yes(F.col("evidence").rlike(f"(?i){pattern}")))
+        cue = cue | (_yes(F.col("relation") == relation) & _yes(F.col("evidence").rlike(f"(?i){ascii_edges(pattern)}")))
     declared = F.coalesce("structured", F.lit(""))
     by_table = F.when(_yes(declared == F.col("relation")) & (declared != ""), "entailed").when(declared != "", "not_entailed").otherwise("undetermined")
     return (

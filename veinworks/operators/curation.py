@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veinworks.functions.patterns import ascii_edges
+
 #: What marks a page as marketing, and the words of technical pages.
 MARKETING = ("all rights reserved", "contact us", "www.", "copyright")
 TECHNICAL = "pump|impeller|seal|bearing|motor|valve|pipe|failure|fault|damage|inspect|maintenance|repair|replace|leak|vibration|noise|temperature|cavitat"
@@ -26,13 +28,13 @@ def is_low_value(text: Column) -> Column:
     """Whether a page has under 80 characters, or two marketing terms and no technical word; a null page is of low value."""
     low = F.lower(F.trim(text))
     terms = sum((F.contains(low, F.lit(t)).cast("int") for t in MARKETING), F.lit(0))
-    return F.coalesce((F.char_length(low) < 80) | ((terms >= 2) & ~low.rlike(rf"\b({TECHNICAL})\w*\b")), F.lit(True))
+    return F.coalesce((F.char_length(low) < 80) | ((terms >= 2) & ~low.rlike(ascii_edges(rf"\b({TECHNICAL})\w*\b"))), F.lit(True))
 
 
 def protected(surface: Column, patterns: list[str]) -> Column:
     """The distinct matches of all patterns, lower case, in order."""
     empty = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(*(F.coalesce(F.regexp_extract_all(F.lower(surface), F.lit(f"({p})"), F.lit(1)), empty) for p in patterns)))
+    return F.array_distinct(F.concat(*(F.coalesce(F.regexp_extract_all(F.lower(surface), F.lit(f"({ascii_edges(p)})"), F.lit(1)), empty) for p in patterns)))
 
 
 def unprotected(surface: Column, label: Column, patterns: list[str]) -> Column:
