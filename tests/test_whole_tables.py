@@ -36,3 +36,20 @@ def test_hard_negatives_of_the_tables(spark):
       FROM benchmark i JOIN assertions a ON a.family_id <> i.item_id % 25)
       SELECT query_id, evidence_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, same_role DESC, confidence DESC, evidence_id DESC) AS rank FROM n) WHERE rank <= 15""")
     assert sorted(map(tuple, catalogue.QUERIES["hard_negatives"](spark, SF).collect())) == want
+
+
+def test_intervals_of_one_key_are_cut_and_meet_once(spark, monkeypatch):
+    from veinworks.operators import bundles, intervals
+
+    rng = random.Random(5)
+    spans = [(i, 1, x := rng.randrange(90), x + rng.randrange(40)) for i in range(150)] + [(999, 2, 5, 5), (998, 1, 9, 3), (997, 1, None, 3)]
+    rows = spark.createDataFrame(spans, "id long, k int, start int, end int")
+    monkeypatch.setattr(intervals, "SIDE", 7)
+    met = intervals.overlapping(rows, rows, ["k"], 10.0)
+    assert met.rdd.getNumPartitions() > 100
+    fine = [s for s in spans if s[2] is not None and s[2] <= s[3]]
+    want = sorted((a[0], b[0]) for a in fine for b in fine if a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3])
+    assert sorted((r["id"], r["other_id"]) for r in met.select("id", "other_id").collect()) == want
+    cells = spark.createDataFrame([(1, 1, 0, 6), (1, 2, 0, 6), (1, 3, 50, 51), (2, 1, 3, 4), (None, 1, 3, 4)], "table_id int, cell_id int, top int, bottom int")
+    lines = spark.createDataFrame([(1, 6.5)] * 30 + [(1, -0.5), (1, 6.51), (2, 3.0), (None, 3.0)], "table_id int, centre double")
+    assert sorted(map(tuple, bundles.row_counts(cells, lines).collect())) == [(1, 1, 31), (1, 2, 31), (2, 1, 1)]
