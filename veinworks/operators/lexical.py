@@ -27,12 +27,21 @@ def script(text: Column) -> Column:
 
 def script_parts(text: Column) -> Column:
     """script and its confidence: 0 below 20 letters, the share of the prevailing script, nearness to one half for mixed texts."""
-    han, latin = F.coalesce(F.regexp_count(text, F.lit(f"[{HAN}]")), F.lit(0)), F.coalesce(F.regexp_count(text, F.lit("[A-Za-z]")), F.lit(0))
-    share = han / F.greatest(han + latin, F.lit(1))
-    few = han + latin < 20
-    name = F.when(few, "und").when(share >= 0.7, "zh").when(share <= 0.15, "en").otherwise("multilingual")
-    sure = F.when(few, 0.0).when(share >= 0.7, share).when(share <= 0.15, 1 - share).otherwise(1 - F.abs(share - 0.5) * 2)
-    return F.struct(name.alias("script"), F.round(sure, 4).alias("confidence"))
+
+    def told(n: Column) -> Column:
+        han, latin = n["bare"] - n["no_han"], n["whole"] - n["bare"]
+        share = han / F.greatest(han + latin, F.lit(1))
+        few = han + latin < 20
+        name = F.when(few, "und").when(share >= 0.7, "zh").when(share <= 0.15, "en").otherwise("multilingual")
+        sure = F.when(few, 0.0).when(share >= 0.7, share).when(share <= 0.15, 1 - share).otherwise(1 - F.abs(share - 0.5) * 2)
+        return F.struct(name.alias("script"), F.round(sure, 4).alias("confidence"))
+
+    # runs of letters are dropped instead of counting matches one by one; a variable holds the lengths, so each text is searched once
+    first = lambda value, f: F.transform(F.array(value), f)[0]
+    length = lambda t: F.coalesce(F.char_length(t), F.lit(0))
+    bare = lambda t: F.struct(length(t).alias("whole"), F.regexp_replace(t, "[A-Za-z]+", "").alias("text"))
+    lengths = lambda s: F.struct(s["whole"].alias("whole"), length(s["text"]).alias("bare"), length(F.regexp_replace(s["text"], f"[{HAN}]+", "")).alias("no_han"))
+    return first(first(first(text, bare), lengths), told)
 
 
 def page_exclusion(pages: DataFrame) -> DataFrame:
