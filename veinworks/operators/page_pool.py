@@ -187,8 +187,8 @@ def decided(pages: DataFrame, links: DataFrame, per_document: int | None = None,
     return out.unionByName(found.select("page_id", "score", reason.alias("decision"), of.alias("duplicate_of")))
 
 
-def page_pool(pages: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
-    """The decisions on the pool's pages (see ``decided``), and the pages left out before: page_id, fault_id (null for neighbours) and reason."""
+def pooled(pages: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
+    """The pool with page_id, doc_id, page, score and digest, and the pages left out before: page_id, fault_id (null for neighbours) and reason."""
     known = checkpointed(features(pages, rules))
     found = checkpointed(matched(pages, known, rules))
     capped = checkpointed(lexical.capped(scored(found, rules), rules.per_family, rules.per_group))
@@ -198,7 +198,13 @@ def page_pool(pages: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
     if rules.context:
         pool, refused = with_context(chosen, known, rules)
         left_out = left_out.unionByName(refused.select("page_id", F.lit(None).cast("string").alias("fault_id"), F.lit(ADJACENT).alias("reason")))
-    pool = checkpointed(pool.join(known.select("page_id", "digest"), "page_id"))
+    return pool.join(known.select("page_id", "digest"), "page_id"), left_out
+
+
+def page_pool(pages: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
+    """The decisions on the pool's pages (see ``decided``), and the pages left out before, as in ``pooled``."""
+    pool, left_out = pooled(pages, rules)
+    pool = checkpointed(pool)
     texts = pages.join(pool.select("page_id"), "page_id", "left_semi").select("page_id", F.concat_ws("\n", "text", "table_text").alias("text"))
     prints = checkpointed(lexical.simhash(texts, "page_id"))
     # a page without words has the fingerprint of no token, all bits set
