@@ -15,30 +15,51 @@ from veinworks.operators.quantiles import MOST, exact_quantiles
 from veinworks.operators.skyline import skyline
 
 
-def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+#: Draws that one task makes.
+DRAWS = 1_000_000
+
+
+def ranking_metrics(ranked: DataFrame, relevant: DataFrame | tuple[DataFrame, DataFrame], k: int) -> DataFrame:
     """Per query: recall, reciprocal rank and nDCG over the first ``k`` rows.
 
     ``ndcg`` has as ideal the rows that could be relevant among those returned; queries without relevant rows are left out.
+    ``relevant`` holds the pairs, or the numbers of relevant rows and those that are ranked (see ``relevant_by_key``).
     """
+    wanted, relevant = relevant if isinstance(relevant, tuple) else (relevant.groupBy("query_id").agg(F.count("*").alias("wanted")), relevant)
     top = ranked.where(F.col("rank") <= k)
     judged = top.join(relevant.select("query_id", "evidence_id", F.lit(1).alias("hit")), ["query_id", "evidence_id"], "left")
     gained = judged.groupBy("query_id").agg(F.count("hit").alias("hits"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"), F.sum(F.when(F.col("hit") == 1, 1 / F.log2(F.col("rank") + 1))).alias("dcg"), F.count("*").alias("returned"))
-    wanted = relevant.groupBy("query_id").agg(F.count("*").alias("wanted"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least("wanted", "returned")).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     joined = wanted.join(gained, "query_id", "left").withColumns({"returned": F.coalesce("returned", F.lit(0)), "hits": F.coalesce("hits", F.lit(0)), "dcg": F.coalesce("dcg", F.lit(0.0))})
     return joined.select("query_id", F.round(F.col("hits") / F.col("wanted"), 6).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.round(F.when(F.col("returned") > 0, F.col("dcg") / ideal).otherwise(0.0), 6).alias("ndcg"))
 
 
-def query_records(runs: DataFrame, ranked: DataFrame, relevant: DataFrame, candidates: DataFrame) -> DataFrame:
+def relevant_by_key(asked: DataFrame, rows: DataFrame, ranked: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(query_id, wanted) and (query_id, evidence_id): how many rows are relevant to each query, and those of them that are ranked.
+
+    Relevant are all other rows (evidence_id, ``key``) with the query's key (query_id, ``key``), ids being unique. They are
+    counted by key and never paired, as their pairs grow with the square of a key's rows.
+    """
+    held = rows.where(F.col(key).isNotNull())
+    counts = held.groupBy(key).agg(F.count("*").alias("_n"))
+    own = held.select(F.col("evidence_id").alias("query_id"), F.col(key).alias("_own"))
+    wanted = asked.join(counts, key).join(own, "query_id", "left").withColumn("wanted", F.col("_n") - F.coalesce((F.col("_own") == F.col(key)).cast("int"), F.lit(0)))
+    met = ranked.select("query_id", "evidence_id").distinct().join(asked, "query_id").join(held.select("evidence_id", F.col(key).alias("_own")), "evidence_id")
+    hits = met.where((F.col("_own") == F.col(key)) & (F.col("query_id") != F.col("evidence_id")))
+    return wanted.where("wanted > 0").select("query_id", "wanted"), hits.select("query_id", "evidence_id")
+
+
+def query_records(runs: DataFrame, ranked: DataFrame, relevant: DataFrame | tuple[DataFrame, DataFrame], candidates: DataFrame) -> DataFrame:
     """Per method and query with relevant rows, over its first run: recall, mrr, ndcg, families, redundancy and pairwise overlap of ends.
 
     ``runs`` (method, query_id, run) and ``ranked`` (method, query_id, run, rank, evidence_id) hold all runs; the first is
     the one of least ``run``. A run without rows scores 0. ``candidates`` holds evidence_id, claim_id, family_id and the
-    array ``ends``; rows it lacks count for recall and rank, but not for families, claims and overlaps.
+    array ``ends``; rows it lacks count for recall and rank, but not for families, claims and overlaps. ``relevant`` holds
+    the pairs, or the numbers of relevant rows and those that are ranked (see ``relevant_by_key``).
     """
     keys = ["method", "query_id"]
     first = runs.groupBy(*keys).agg(F.min("run").alias("run"))
-    wanted = relevant.groupBy("query_id").agg(F.countDistinct("evidence_id").alias("wanted"))
+    wanted, relevant = relevant if isinstance(relevant, tuple) else (relevant.groupBy("query_id").agg(F.countDistinct("evidence_id").alias("wanted")), relevant)
     rows = first.join(wanted, "query_id").join(ranked, [*keys, "run"], "left")
     judged = rows.join(relevant.select("query_id", "evidence_id", F.lit(1).alias("hit")).distinct(), ["query_id", "evidence_id"], "left").join(candidates, "evidence_id", "left")
     gain = F.when(F.col("hit") == 1, 1 / F.log2(F.col("rank") + 1))
@@ -107,6 +128,7 @@ def chosen_setting(measured: DataFrame, key: str, quality: str, slack: float, lo
 
     Settings are a grid, so the chosen one is found among rows as few as those.
     """
+    measured = checkpointed(measured)  # read by the front and by the best; as few rows as settings
     best = measured.agg(F.max(quality).alias("_best"))  # one row
     held = checkpointed(skyline(measured, low, high).join(F.broadcast(best)).withColumn("allowed", F.col(quality) >= F.col("_best") - slack).drop("_best"))
     by = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
@@ -123,13 +145,15 @@ def drawn(clusters: DataFrame, replicates: int, seed: int = 7) -> DataFrame:
     """The rows of ``clusters`` (one for each ``cluster``) drawn with replacement: their columns, ``replicate`` and ``times``.
 
     Clusters are numbered in their order by ranges and prefix sums. Each replicate draws as many as there are, by hashes
-    of seed, replicate and slot; draws are counted before they meet the clusters.
+    of seed, replicate and slot. Draws are made in tasks of DRAWS at most and go to their clusters as they are, in one
+    shuffle: counting them first would need another, and hardly two of a replicate are equal.
     """
     table = numbered(clusters, "cluster", name="_i")
     n = table.count()
-    slots = table.select(F.col("_i").alias("slot")).select("slot", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    times = slots.groupBy("replicate", draw(seed, F.col("replicate"), F.col("slot"), F.lit(max(1, n))).alias("_i")).agg(F.count("*").alias("times"))
-    return times.join(table, "_i").drop("_i")
+    parts = max(1, -(-n * replicates // DRAWS))
+    slots = table.sparkSession.range(0, n, 1, parts).select(F.col("id").alias("slot")).select("slot", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    draws = slots.select("replicate", draw(seed, F.col("replicate"), F.col("slot"), F.lit(max(1, n))).alias("_i"))
+    return draws.join(table, "_i").drop("_i").withColumn("times", F.lit(1).cast("long"))
 
 
 def bootstrap(clusters: DataFrame, replicates: int, seed: int = 7) -> DataFrame:

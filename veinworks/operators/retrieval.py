@@ -101,18 +101,16 @@ def _greedy(rows: list[dict], k: int, family_cap: int | None, bonus: float, pena
 def select_by_grid(pool: DataFrame, grid: list[tuple[int, float, float, int]], k: int) -> DataFrame:
     """``select`` for every setting (config_id, bonus, penalty, family cap) in one plan: config_id, query_id, position, evidence_id, gain.
 
-    Settings are exploded beside the pool's rows, and a group is one setting of one query.
+    A group is one query, whose rows are read once for all settings.
     """
-    settings = F.explode(F.array(*(F.struct(F.lit(c).alias("config_id"), F.lit(float(b)).alias("_bonus"), F.lit(float(p)).alias("_penalty"), F.lit(cap).alias("_cap")) for c, b, p, cap in grid)))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        taken = _greedy(pdf.sort_values("rank").to_dict("records"), k, int(first["_cap"]), float(first["_bonus"]), float(first["_penalty"]), None)
-        return pd.DataFrame(taken, columns=[*pdf.columns, "position", "gain"])[["config_id", "query_id", "position", "evidence_id", "gain"]]
+        rows = pdf.sort_values("rank").to_dict("records")
+        taken = [r | {"config_id": c} for c, b, p, cap in grid for r in _greedy(list(rows), k, cap, float(b), float(p), None)]
+        return pd.DataFrame(taken, columns=["config_id", "query_id", "position", "evidence_id", "gain"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pool.schema}
-    each = pool.select("*", settings.alias("_s")).select(*pool.columns, "_s.*")
-    return each.groupBy("config_id", "query_id").applyInPandas(choose, f"config_id int, query_id {kinds['query_id']}, position long, evidence_id {kinds['evidence_id']}, gain double")
+    return pool.groupBy("query_id").applyInPandas(choose, f"config_id int, query_id {kinds['query_id']}, position long, evidence_id {kinds['evidence_id']}, gain double")
 
 
 def hard_negatives(queries: DataFrame, candidates: DataFrame, pool: int) -> DataFrame:

@@ -506,8 +506,8 @@ SELECT query_id, round(hits / wanted, 6) AS recall, round(coalesce(1 / first, 0)
 def retrieval_metrics(spark, sf_dir):
     labels = _labels(spark, sf_dir)
     asked = labels.where("evidence_id % 20 = 0").select(F.col("evidence_id").alias("query_id"), "label")
-    relevant = asked.join(labels, "label").where("query_id <> evidence_id").select("query_id", "evidence_id")
-    return evaluation.ranking_metrics(_hybrid(spark, sf_dir, 10), relevant, 10)
+    ranked = checkpointed(_hybrid(spark, sf_dir, 10))
+    return evaluation.ranking_metrics(ranked, evaluation.relevant_by_key(asked, labels, ranked, "label"), 10)
 
 
 _ENDS = "list_distinct([{t}.claim_id, {t}.family_id])"

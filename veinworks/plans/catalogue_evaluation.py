@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veinworks.functions.storage import checkpointed
 from veinworks.operators import bundles, evaluation, retrieval, skyline
 from veinworks.plans.bindings import RUNS, SCORED, ranked_runs, table
 from veinworks.plans.catalogue import _HYBRID, _dense, _hybrid, _labels, query, scored
@@ -103,9 +104,10 @@ def _reported(spark, sf_dir):
     asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.explode(F.array(F.lit("dense"), F.lit("hybrid"))).alias("method")).select("*", run)
     runs = asked.selectExpr("method", "query_id", "run", "CAST((query_id * 37 + run * 11 + length(method)) % 101 AS double) AS latency", "(query_id + run) % 9 = 0 AS timed_out", "query_id % 50 AS scored")
     lists = _dense(spark, sf_dir, 10).select(F.lit("dense").alias("method"), "query_id", "rank", "evidence_id").unionByName(_hybrid(spark, sf_dir, 10).where("query_id % 100 <> 40").select(F.lit("hybrid").alias("method"), "query_id", "rank", "evidence_id"))
-    ranked = lists.select("*", run).where("rank <= 10 - 5 * run")
+    ranked = checkpointed(lists).select("*", run).where("rank <= 10 - 5 * run")
     labels = _labels(spark, sf_dir)
-    relevant = labels.where("evidence_id % 20 = 0 AND evidence_id % 60 <> 0").select(F.col("evidence_id").alias("query_id"), "label").join(labels, "label").where("query_id <> evidence_id").select("query_id", "evidence_id")
+    judged = labels.where("evidence_id % 20 = 0 AND evidence_id % 60 <> 0").select(F.col("evidence_id").alias("query_id"), "label")
+    relevant = evaluation.relevant_by_key(judged, labels, ranked, "label")
     candidates = vectors.where("vec_id % 13 <> 0").selectExpr("vec_id AS evidence_id", "vec_id % 11 AS claim_id", "vec_id % 7 AS family_id", "array(concat('h', vec_id % 5), concat('t', vec_id % 3)) AS ends")
     return runs, evaluation.query_records(runs, ranked, relevant, candidates)
 
@@ -141,7 +143,7 @@ m AS (SELECT config_id, round(avg(hit), 6) AS recall, round(avg(families), 6) AS
 
 
 def _measured(spark, sf_dir):
-    ranked = _hybrid(spark, sf_dir, 20)
+    ranked = checkpointed(_hybrid(spark, sf_dir, 20))
     chosen = retrieval.select_by_grid(ranked.select("query_id", "rank", "evidence_id", "family_id", "claim_id", "score"), GRID, 3)
     asked = _labels(spark, sf_dir).select(F.col("evidence_id").alias("query_id"), F.col("label").alias("_asked"))
     rows = chosen.select("config_id", "query_id", "evidence_id").join(ranked.select("query_id", "evidence_id", "family_id", "claim_id", "label", "rank"), ["query_id", "evidence_id"]).join(asked, "query_id")
