@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
-from veinworks.operators import evaluation, lexical, page_pool, retrieval
+from veinworks.operators import evaluation, lexical, matrix, page_pool, retrieval
 from veinworks.sources import files
 
 
@@ -78,3 +80,26 @@ def test_exclusions_need_no_fingerprints(spark, monkeypatch):
         monkeypatch.setattr(page_pool, f, never)
     monkeypatch.setattr(page_pool.lexical, "simhash", never)
     assert catalogue.QUERIES["page_pool_exclusions"](spark, "/root/testdata/sf0.001").count() >= 0
+
+
+def test_scores_are_made_for_some_queries_and_rows_at_a_time(spark, monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(matrix, "PIECE", 3)
+    monkeypatch.setattr(matrix, "CELLS", 40)
+    values = {i: rng.randrange(9) / 10 + rng.choice([0, 4e-7]) for i in range(97)}
+    rows = spark.createDataFrame(list(values.items()), "evidence_id long, v double").repartition(2)
+
+    def score(batch):
+        assert batch.num_rows <= 4
+        v = batch.column("v").to_numpy()[:, None]
+
+        def of(some):
+            times = np.arange(8)[some]
+            assert len(times) <= 3
+            return v * (times % 2 + 1)
+
+        return of
+
+    got = matrix.best_rows(rows, score, [f"q{i}" for i in range(8)], "string", 5, width=10)
+    want = [(f"q{q}", rank, i) for q in range(8) for rank, (_, i) in enumerate(sorted((-round(v * (q % 2 + 1), 6), i) for i, v in values.items())[:5], 1)]
+    assert rows_of(got.select("query_id", "rank", "evidence_id")) == sorted(want, key=str)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -126,12 +126,13 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: floa
         df, n, mean = _term_statistics(held, terms)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
 
-        def score(batch: pa.RecordBatch) -> np.ndarray:
+        def score(batch: pa.RecordBatch) -> Callable[[slice], np.ndarray]:
             tf = terms.counts(batch.column("_t"))
             length = pc.list_value_length(batch.column("_t")).to_numpy(zero_copy_only=False)[:, None]
-            return (idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))) @ terms.matrix if n else np.zeros((len(tf), len(asked)))
+            weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / (mean or 1.0)))
+            return lambda some: weight @ terms.matrix[:, some]
 
-        return matrix.best_rows(held, score, [r["query_id"] for r in asked], _kind(queries), k, "doc_id", above=0.0)
+        return matrix.best_rows(held, score, [r["query_id"] for r in asked], _kind(queries), k, "doc_id", len(terms.words), above=0.0)
 
     return matrix.united(block(asked) for asked in matrix.blocks(_held(queries, "query_id"), "query_id", limit))
 
@@ -163,7 +164,11 @@ def postings_hits(corpus: DataFrame, queries: DataFrame, k: int, limit: int = 50
 
     def block(asked: list) -> DataFrame:
         terms = _Terms([sorted(set(r["_t"])) for r in asked])
-        best = matrix.best_rows(held, lambda batch: (terms.counts(batch.column("_t")) > 0) @ terms.matrix, [r["query_id"] for r in asked], _kind(queries), k, "doc_id", above=0.0, last_id_first=True, measure="hits")
+        def score(batch: pa.RecordBatch) -> Callable[[slice], np.ndarray]:
+            has = (terms.counts(batch.column("_t")) > 0).astype(float)
+            return lambda some: has @ terms.matrix[:, some]
+
+        best = matrix.best_rows(held, score, [r["query_id"] for r in asked], _kind(queries), k, "doc_id", len(terms.words), above=0.0, last_id_first=True, measure="hits")
         return best.withColumn("hits", F.col("hits").cast("long"))
 
     return matrix.united(block(asked) for asked in matrix.blocks(_held(queries, "query_id"), "query_id", limit))
@@ -177,11 +182,12 @@ def dice_top(labels: DataFrame, queries: DataFrame, k: int, limit: int = 500) ->
         terms = _Terms([r["_t"] or [] for r in asked])
         sizes = np.array([len(r["_t"] or []) for r in asked])
 
-        def score(batch: pa.RecordBatch) -> np.ndarray:
+        def score(batch: pa.RecordBatch) -> Callable[[slice], np.ndarray]:
             own = pc.list_value_length(batch.column("_t")).fill_null(0).to_numpy(zero_copy_only=False)[:, None]
-            return 2.0 * (terms.counts(batch.column("_t")) @ terms.matrix) / np.maximum(own + sizes, 1)
+            counts = terms.counts(batch.column("_t"))
+            return lambda some: 2.0 * (counts @ terms.matrix[:, some]) / np.maximum(own + sizes[some], 1)
 
-        return matrix.best_rows(held, score, [r["query_id"] for r in asked], _kind(queries), k)
+        return matrix.best_rows(held, score, [r["query_id"] for r in asked], _kind(queries), k, width=len(terms.words))
 
     return matrix.united(block(asked) for asked in matrix.blocks(queries.select("query_id", bigrams(F.col("text")).alias("_t")), "query_id", limit))
 

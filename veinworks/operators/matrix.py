@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Scores of so many pairs lie in memory at once.
 CELLS = 4_000_000
+#: Queries that are scored at once: few, so that a batch has many more rows than are kept of each query.
+PIECE = 512
 
 
 def _leading(best: list[np.ndarray], k: int, last_id_first: bool) -> list[np.ndarray]:
@@ -39,14 +41,15 @@ def _near_the_top(scores: np.ndarray, k: int, above: float | None) -> np.ndarray
     return mask
 
 
-def best_rows(rows: DataFrame, score: Callable[[pa.RecordBatch], np.ndarray], queries: list, query_type: str, k: int, key: str = "evidence_id", **how) -> DataFrame:
+def best_rows(rows: DataFrame, score: Callable[[pa.RecordBatch], Callable[[slice], np.ndarray]], queries: list, query_type: str, k: int, key: str = "evidence_id", width: int = 0, **how) -> DataFrame:
     """(query_id, key, score, rank) of the ``k`` best rows of each query; see ``best_parts`` for ``how``.
 
-    ``score`` makes a matrix of a batch's rows by ``queries``. Rows without a key are left out.
+    ``score`` takes a batch, of which it may hold ``width`` numbers a row, and gives a function that makes a matrix of the
+    batch's rows by a slice of ``queries``. Rows without a key are left out.
     """
-    step = max(1, CELLS // max(1, len(queries)))
+    step = max(1, CELLS // max(width, PIECE))
 
-    def parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, Callable[[slice], np.ndarray]]]:
         for at in range(0, batch.num_rows, step):
             some = batch.slice(at, step)
             yield some.column(key), score(some)
@@ -55,23 +58,28 @@ def best_rows(rows: DataFrame, score: Callable[[pa.RecordBatch], np.ndarray], qu
 
 
 def best_parts(
-    rows: DataFrame, parts: Callable[[pa.RecordBatch], Iterator[tuple[pa.Array, np.ndarray]]], queries: list, query_type: str, k: int, key: str, kind: str, above: float | None = None, last_id_first: bool = False, measure: str = "score"
+    rows: DataFrame, parts: Callable[[pa.RecordBatch], Iterator[tuple[pa.Array, Callable[[slice], np.ndarray]]]], queries: list, query_type: str, k: int, key: str, kind: str, above: float | None = None, last_id_first: bool = False, measure: str = "score"
 ) -> DataFrame:
-    """The same for batches that hold any number of keys: ``parts`` yields keys and their scores by ``queries``.
+    """The same for batches that hold any number of keys: ``parts`` yields keys and a function of their scores by a slice of ``queries``.
 
     NaN stands for no score, and so does what isn't above ``above``. Scores are rounded to six places before they are
-    compared. Ties go to the least key, or to the greatest.
+    compared. Ties go to the least key, or to the greatest. A task holds the scores of PIECE queries at a time and the
+    k best rows of each query, and hands these on by pieces too.
     """
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[np.ndarray] | None = None
+        best: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for ids, scores in parts(batch):
-                row, query = np.nonzero(_near_the_top(scores, k, above))
-                found = [query, np.round(scores[row, query], 6), (ids.to_numpy(zero_copy_only=False) if pa.types.is_integer(ids.type) else np.array(ids.to_pylist(), object))[row]]
-                best = _leading(found if best is None else [np.concatenate(x) for x in zip(best, found, strict=True)], k, last_id_first)
-        if best is not None:
-            yield pa.RecordBatch.from_pydict({"_query": best[0].astype(np.int32), measure: best[1].astype(float), key: pa.array(best[2].tolist(), out)})
+            for ids, scores_of in parts(batch):
+                keys = ids.to_numpy(zero_copy_only=False) if pa.types.is_integer(ids.type) else np.array(ids.to_pylist(), object)
+                for at in range(0, len(queries), PIECE):
+                    scores = np.round(scores_of(slice(at, at + PIECE)), 6)
+                    row, query = np.nonzero(_near_the_top(scores, k, above))
+                    found = [query + at, scores[row, query], keys[row]]
+                    best[at] = _leading(found if at not in best else [np.concatenate(x) for x in zip(best[at], found, strict=True)], k, last_id_first)
+        for at in sorted(best):
+            query, score, key_of = best.pop(at)
+            yield pa.RecordBatch.from_pydict({"_query": query.astype(np.int32), measure: score.astype(float), key: pa.array(key_of if key_of.dtype != object else key_of.tolist(), out)})
 
     out = pa.int64() if kind in ("bigint", "int", "smallint", "tinyint") else pa.string()
     chosen = rows.mapInArrow(choose, f"_query int, {measure} double, {key} {'bigint' if out == pa.int64() else 'string'}")

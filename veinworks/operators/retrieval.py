@@ -32,9 +32,16 @@ def dense(queries: DataFrame, corpus: DataFrame, k: int, limit: int = 4_000_000)
     widths = [r[0] for r in whole.select(F.size("query")).distinct().collect()]
     rows = corpus.select("evidence_id", F.col("vector").cast("array<double>").alias("vector"))
 
+    def score_by(sides: np.ndarray, width: int):
+        def score(batch):
+            x = matrix.vectors_of(batch.column("vector"), width)
+            return lambda some: x @ sides[:, some]
+
+        return score
+
     def block(asked: list, width: int) -> DataFrame:
         sides = np.array([r["query"] for r in asked], float).reshape(len(asked), width).T
-        return matrix.best_rows(rows, lambda batch: matrix.vectors_of(batch.column("vector"), width) @ sides, [r["query_id"] for r in asked], kind, k)
+        return matrix.best_rows(rows, score_by(sides, width), [r["query_id"] for r in asked], kind, k, width=width)
 
     found = [block(asked, w) for w in widths for asked in matrix.blocks(whole.where(F.size("query") == w), "query_id", max(1, limit // max(1, w)))]
     return matrix.united(found) if found else rows.sparkSession.createDataFrame([], f"query_id {kind}, evidence_id {corpus.schema['evidence_id'].dataType.simpleString()}, score double, rank int")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,9 +68,10 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, limit: in
             length = np.linalg.norm(sides, axis=1, keepdims=True)
             sides = np.divide(sides, length, out=np.zeros_like(sides), where=length > 0)
 
-        def parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        def parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, Callable[[slice], np.ndarray]]]:
             for i in range(batch.num_rows):
-                yield batch.column("ids").slice(i, 1).flatten(), np.frombuffer(batch.column("data")[i].as_buffer(), "<f8").reshape(-1, width) @ sides.T
+                x = np.frombuffer(batch.column("data")[i].as_buffer(), "<f8").reshape(-1, width)
+                yield batch.column("ids").slice(i, 1).flatten(), lambda some, x=x: x @ sides[some].T
 
         return matrix.best_parts(blocks.select("ids", "data"), parts, [r["query_id"] for r in some], kind, k, "evidence_id", key_kind)
 
