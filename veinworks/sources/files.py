@@ -92,11 +92,17 @@ def released(records: DataFrame, key: str = "evidence_id", position: tuple[str,
     return fine.join(first, key).where(place == F.col("_first")).drop("_first")
 
 
+#: Rows of a partition.
+PART_ROWS = 200_000
+
+
 def valid_prefix(rows: DataFrame, key: str, position: str, version: str, digest: str) -> DataFrame:
     """What an interrupted run of each document left that may be kept: rows (key, position, page, readable, version, digest) before the first unreadable one.
 
-    A document whose readable prefix holds a row of another version or digest, or a page twice, is begun anew.
+    A document whose readable prefix holds a row of another version or digest, or a page twice, is begun anew. Rows are
+    shuffled once, by document, into partitions of PART_ROWS on average, so that no task's share grows with the table.
     """
+    rows = rows.repartition(max(1, -(-rows.count() // PART_ROWS)), key)
     broken = rows.where(~F.col("readable")).groupBy(key).agg(F.min(position).alias("_break"))
     prefix = rows.join(broken, key, "left").where(F.col("_break").isNull() | (F.col(position) < F.col("_break"))).drop("_break")
     other = ~(F.col("version").eqNullSafe(F.lit(version)) & F.col("digest").eqNullSafe(F.col(digest) if digest in rows.columns else F.lit(digest)))
