@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veinworks.functions.storage import checkpointed, discard
+from veinworks.functions.storage import bucketed, checkpointed, discard
+
+#: Links in a bucket of the table that is read every round.
+BUCKET_LINKS = 1_000_000
 
 
 def hops(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -36,23 +39,34 @@ def hop_scores(edges: DataFrame, seeds: DataFrame, depth: int, decay: float) ->
 def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
     """(node, rank): personalised PageRank from equally weighted seeds (node); a node without links keeps its damped rank.
 
-    ``edges`` is read every round; checkpoint it first where it is costly. Ends after ``rounds``, or where the ranks change by less than ``tolerance`` in all.
+    ``edges`` is read twice; checkpoint it first where it is costly. Ends after ``rounds``, or where the ranks change by less than ``tolerance`` in all.
+
+    The links are dealt out by their first end once, into a bucketed table that is dropped at the end, so a round
+    shuffles ranks and their sums, but no links. Only nodes that rank has reached have a row; all others have 0, send
+    nothing and get their row in the result.
     """
-    degrees = edges.groupBy("a").agg(F.count("*").alias("degree"))
+    buckets = max(edges.sparkSession.sparkContext.defaultParallelism, -(-edges.count() // BUCKET_LINKS))
     starts = seeds.select("node").distinct()
     # the number of seeds is one row
-    share = starts.join(F.broadcast(starts.agg(F.count("*").alias("_n")))).select("node", (1 / F.col("_n")).alias("start"))
-    every = edges.select(F.col("a").alias("node")).union(starts).distinct()
-    ranks = checkpointed(every.join(share, "node", "left").join(degrees, F.col("node") == F.col("a"), "left").select("node", F.coalesce("start", F.lit(0.0)).alias("start"), "degree", F.coalesce("start", F.lit(0.0)).alias("rank")))
-    for _ in range(rounds):
-        sent = edges.join(ranks.select("node", "rank", "degree"), edges["a"] == F.col("node")).groupBy(F.col("b").alias("_to")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        kept = F.when(F.col("degree").isNull(), F.col("rank")).otherwise(F.coalesce("got", F.lit(0.0)))
-        before, moved = ranks, checkpointed(ranks.drop("old").join(sent, F.col("node") == F.col("_to"), "left").select("node", "start", "degree", ((1 - damping) * F.col("start") + damping * kept).alias("rank"), F.col("rank").alias("old")))
-        discard(before)
-        ranks = moved
-        if tolerance is not None and moved.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
-            break
-    return ranks.select("node", "rank")
+    ranks = checkpointed(starts.join(F.broadcast(starts.agg(F.count("*").alias("_n")))).select("node", (1 / F.col("_n")).alias("start"), (1 / F.col("_n")).alias("rank"), F.lit(None).cast("double").alias("old")))
+    with bucketed(edges.select("a", "b"), "a", buckets) as links, bucketed(links.groupBy("a").agg(F.count("*").alias("degree")), "a", buckets) as degrees:
+        of = degrees.withColumnRenamed("a", "_a")
+        for _ in range(rounds):
+            sending = ranks.select("node", "rank").join(of, F.col("node") == F.col("_a")).select("node", (F.col("rank") / F.col("degree")).alias("_each"))
+            sent = links.join(sending.hint("shuffle_hash"), F.col("a") == F.col("node")).groupBy(F.col("b").alias("_to")).agg(F.sum("_each").alias("got"))
+            met = ranks.drop("old").join(sent, F.col("node") == F.col("_to"), "full").select(F.coalesce("node", "_to").alias("node"), "start", "rank", "got")
+            # what is neither a seed nor linked from has no rank
+            known = met.join(of, F.col("node") == F.col("_a"), "left").where(F.col("degree").isNotNull() | F.col("start").isNotNull())
+            start, old = F.coalesce("start", F.lit(0.0)), F.coalesce("rank", F.lit(0.0))
+            kept = F.when(F.col("degree").isNull(), old).otherwise(F.coalesce("got", F.lit(0.0)))
+            before, ranks = ranks, checkpointed(known.select("node", start.alias("start"), ((1 - damping) * start + damping * kept).alias("rank"), old.alias("old")))
+            discard(before)
+            if tolerance is not None and (ranks.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) < tolerance:
+                break
+        every = degrees.select(F.col("a").alias("node")).union(starts).distinct()
+        out = checkpointed(every.join(ranks.select(F.col("node").alias("_node"), "rank"), F.col("node") == F.col("_node"), "left").select("node", F.coalesce("rank", F.lit(0.0)).alias("rank")))
+    discard(ranks)
+    return out
 
 
 def metapaths(claims: DataFrame, entities: DataFrame, paths: DataFrame) -> DataFrame:

@@ -58,7 +58,8 @@ SCORED = (
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undirected links (a, b) between suppliers and parts of line items, each once in either direction."""
-    pairs = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("S-"), "l_suppkey").alias("a"), F.concat(F.lit("P-"), "l_partkey").alias("b")).distinct()
+    keys = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    pairs = keys.select(F.concat(F.lit("S-"), "l_suppkey").alias("a"), F.concat(F.lit("P-"), "l_partkey").alias("b"))
     return pairs.union(pairs.select("b", "a"))
 
 
