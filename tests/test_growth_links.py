@@ -1,6 +1,9 @@
 """Rounds and pairs whose shuffles or tasks grew faster than their input: same results, bounded shares."""
 
-from veinworks.operators import graph
+import random
+from collections import Counter
+
+from veinworks.operators import graph, lexical
 
 
 def test_rounds_of_ranks_leave_the_links_where_they_lie(spark, monkeypatch):
@@ -34,3 +37,17 @@ def test_rounds_of_ranks_leave_the_links_where_they_lie(spark, monkeypatch):
         scans = [i for i, line in enumerate(p.splitlines()) if "Bucketed: true" in line and "b#" in line.split("PartitionFilters")[0]]
         assert scans and all("Exchange" not in "".join(p.splitlines()[i - 3 : i]) for i in scans)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
+
+
+def test_keys_of_fingerprints_are_dealt_by_their_number_and_pairs_told_once(spark, monkeypatch):
+    r = random.Random(5)
+    monkeypatch.setattr(lexical, "BAND_KEYS", 100, raising=False)
+    base = [r.getrandbits(60) for _ in range(20)]
+    hashes = base + [h ^ sum(1 << b for b in r.sample(range(60), d)) for h in base for d in (1, 2, 3, 4)] + [base[0] ^ 1 << b for b in range(60)] + base[:5] + [0, (1 << 60) - 1]
+    pairs = lexical.near_hashes(spark.createDataFrame([(h,) for h in hashes], "hash long"))
+    n = Counter(hashes)
+    distinct = sorted(n)
+    want = [(a, b, n[a], n[b], (a ^ b).bit_count()) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if (a ^ b).bit_count() <= 3]
+    assert sorted(map(tuple, pairs.select("hash", "other", "rows", "other_rows", "distance").collect())) == want
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "band#" in plan and f"{-(-len(distinct) * 20 // 100)}), REPARTITION_BY_NUM" in plan and "HashAggregate" not in plan

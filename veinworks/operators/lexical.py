@@ -16,6 +16,8 @@ from veinworks.functions.storage import checkpointed
 from veinworks.operators import matrix
 
 
+#: Keys of fingerprints in a partition.
+BAND_KEYS = 250_000
 #: The ranges of Han letters that count for a text's script.
 HAN = "\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff"
 
@@ -221,16 +223,23 @@ def near_hashes(hashes: DataFrame, distance: int = 3, key: str = "doc_id") -> Da
     """Pairs of different hashes within ``distance`` (at most 3) of 60 bits, with the number of rows of each.
 
     Equal hashes are first counted, so copies are not paired. Of six blocks of ten bits, three are equal in every such
-    pair; each choice of three makes a key of 30 bits, which stays selective for many hashes.
+    pair; each choice of three makes a key of 30 bits, which stays selective for many hashes. A pair that shares several
+    keys is told under the first, that of its three lowest equal blocks. Keys are dealt into as many partitions as
+    their number asks for: the hashes are few bytes, so partitions sized by these would hold ever more keys.
     """
     counted = checkpointed(hashes.groupBy("hash").agg(F.count("*").alias("rows")))
-    block = lambda i: F.shiftright("hash", 10 * i).bitwiseAND(F.lit(1023))
-    keys = F.array(*(F.shiftleft(block(x), 20).bitwiseOR(F.shiftleft(block(y), 10)).bitwiseOR(block(z)) for x, y, z in combinations(range(6), 3)))
-    banded = counted.select("hash", F.posexplode(keys).alias("band", "value"))
+    block = lambda c, i: F.shiftright(c, 10 * i).bitwiseAND(F.lit(1023))
+    bands = list(combinations(range(6), 3))
+    keys = F.array(*(F.shiftleft(block("hash", x), 20).bitwiseOR(F.shiftleft(block("hash", y), 10)).bitwiseOR(block("hash", z)) for x, y, z in bands))
+    parts = max(counted.sparkSession.sparkContext.defaultParallelism, -(-counted.count() * len(bands) // BAND_KEYS))
+    # the hashes are dealt out before each makes its keys, as a task can't hold the keys of all
+    banded = counted.repartition(max(1, parts // len(bands)), "hash").select("hash", "rows", F.posexplode(keys).alias("band", "value")).repartition(parts, "band", "value")
     away = F.bit_count(F.col("hash").bitwiseXOR(F.col("other")))
-    pairs = banded.join(banded.withColumnRenamed("hash", "other"), ["band", "value"]).where((F.col("hash") < F.col("other")) & (away <= distance)).select("hash", "other").distinct()
-    other = counted.select(F.col("hash").alias("other"), F.col("rows").alias("other_rows"))
-    return pairs.join(counted, "hash").join(other, "other").select("hash", "other", "rows", "other_rows", away.alias("distance"))
+    equal = sum((F.when(block(F.col("hash").bitwiseXOR(F.col("other")), w) == 0, 1 << w).otherwise(0) for w in range(6)), F.lit(0))
+    lower = F.array(*(F.lit(sum(1 << w for w in range(z) if w not in (x, y))) for x, y, z in bands))[F.col("band")]
+    first = equal.bitwiseAND(lower) == 0
+    met = banded.join(banded.withColumnsRenamed({"hash": "other", "rows": "other_rows"}), ["band", "value"]).where((F.col("hash") < F.col("other")) & (away <= distance))
+    return met.where(first).select("hash", "other", "rows", "other_rows", away.alias("distance"))
 
 
 def capped(pages: DataFrame, per_family: int, per_group: int) -> DataFrame:
