@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from veinworks.operators import graph, lexical
+from veinworks.operators import graph, lexical, postings
 
 
 def test_rounds_of_ranks_leave_the_links_where_they_lie(spark, monkeypatch):
@@ -51,3 +51,25 @@ def test_keys_of_fingerprints_are_dealt_by_their_number_and_pairs_told_once(spar
     assert sorted(map(tuple, pairs.select("hash", "other", "rows", "other_rows", "distance").collect())) == want
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "band#" in plan and f"{-(-len(distinct) * 20 // 100)}), REPARTITION_BY_NUM" in plan and "HashAggregate" not in plan
+
+
+def test_an_index_keeps_lists_of_a_shard_and_takes_queries_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "SHARD", 40)
+    monkeypatch.setattr(postings, "BLOCK", 4)
+    monkeypatch.setattr(postings, "BATCH", 30, raising=False)
+    written, keep = [], postings.checkpointed
+    monkeypatch.setattr(postings, "checkpointed", lambda df: written.append(keep(df)) or written[-1])
+    r = random.Random(6)
+    words = ["the"] * 20 + [f"w{k}" for k in range(30)]
+    corpus = spark.createDataFrame([(f"d{i}", " ".join(r.choice(words) for _ in range(r.randrange(0, 30)))) for i in range(110)] + [("null", None)], "doc_id string, text string")
+    path = str(tmp_path / "index")
+    postings.build(corpus, path)
+    # a row for each token of a shard, and one for the shard, instead of one for each posting
+    assert written[0].count() <= 3 * (31 + 1)
+    queries = spark.createDataFrame([(q, " ".join(r.sample(words, 3))) for q in "abcde"] + [("x", "unknown"), ("y", None)], "query_id string, text string")
+    want = sorted((x["query_id"], x["rank"], x["doc_id"]) for x in lexical.bm25(corpus, queries, 4).collect())
+    for limit in (500, 2):
+        assert sorted((x["query_id"], x["rank"], x["doc_id"]) for x in postings.search(spark, path, queries, 4, limit)[0].collect()) == want
+    nothing = str(tmp_path / "nothing")
+    postings.build(corpus.limit(0), nothing)
+    assert postings.search(spark, nothing, queries, 4)[0].count() == 0

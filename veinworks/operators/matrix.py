@@ -22,8 +22,8 @@ PIECE = 512
 
 
 def _leading(best: list[np.ndarray], k: int, last_id_first: bool) -> list[np.ndarray]:
-    """Of (query, score, id) the ``k`` best of each query: highest score, then the least id, or the greatest."""
-    query, score, key = best
+    """Of (query, score, id, ...) the ``k`` best of each query: highest score, then the least id, or the greatest."""
+    query, score, key = best[:3]
     code = np.unique(key, return_inverse=True)[1]
     order = np.lexsort((-code if last_id_first else code, -score, query))
     query = query[order]
