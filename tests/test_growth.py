@@ -49,6 +49,22 @@ def test_draws_are_made_in_bounded_tasks_and_each_meets_its_cluster(spark, monke
     assert rows_of(drawn.groupBy("replicate", "cluster").agg(F.sum("times"))) == want
 
 
+def test_clusters_are_sent_to_their_draws_or_both_are_shuffled_never_the_draws_sent(spark, monkeypatch):
+    clusters = spark.createDataFrame([(i, i * i) for i in range(40)], "cluster long, v long")
+    told = lambda: evaluation.drawn(clusters, 20)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    sent = told()
+    assert "BuildRight" in plan(sent) and "BuildLeft" not in plan(sent)
+    monkeypatch.setattr(evaluation, "SENT", 39)
+    shuffled = told()
+    assert "SortMergeJoin" in plan(shuffled) and "BroadcastHashJoin" not in plan(shuffled)
+    assert rows_of(sent) == rows_of(shuffled) and sent.count() == 800
+    pairs = clusters.withColumns({"left": F.col("v").cast("double"), "right": F.col("cluster").cast("double")}).drop("v")
+    few = rows_of(evaluation.bootstrap_gap(pairs, 20, "p95"))
+    monkeypatch.setattr(evaluation, "SENT", 40)
+    assert rows_of(evaluation.bootstrap_gap(pairs, 20, "p95")) == few
+
+
 def test_scripts_count_letters_without_a_list_of_them(spark):
     texts = [None, "", "甲" * 19, "甲" * 20, "abc" * 7, "甲㐁豈" * 7 + "a" * 9, "甲a" * 20, "12 é甲" * 30, "𠀀" * 30 + "ab" * 10]
     rows = spark.createDataFrame([(t,) for t in texts], "text string")

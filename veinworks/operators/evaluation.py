@@ -15,8 +15,8 @@ from veinworks.operators.quantiles import MOST, exact_quantiles
 from veinworks.operators.skyline import skyline
 
 
-#: Draws that one task makes.
-DRAWS = 1_000_000
+#: Draws that one task makes, and how many clusters may be sent to every task whole.
+DRAWS, SENT = 1_000_000, 100_000
 
 
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame | tuple[DataFrame, DataFrame], k: int) -> DataFrame:
@@ -145,15 +145,16 @@ def drawn(clusters: DataFrame, replicates: int, seed: int = 7) -> DataFrame:
     """The rows of ``clusters`` (one for each ``cluster``) drawn with replacement: their columns, ``replicate`` and ``times``.
 
     Clusters are numbered in their order by ranges and prefix sums. Each replicate draws as many as there are, by hashes
-    of seed, replicate and slot. Draws are made in tasks of DRAWS at most and go to their clusters as they are, in one
-    shuffle: counting them first would need another, and hardly two of a replicate are equal.
+    of seed, replicate and slot. Draws are made in tasks of DRAWS at most. Up to SENT clusters are sent to them; more
+    meet them in one shuffle, as they are: counting draws first would need another, and hardly two of a replicate are
+    equal. Spark takes the draws for as few as the slots they are made from, so it must not choose the side to be sent.
     """
     table = numbered(clusters, "cluster", name="_i")
     n = table.count()
     parts = max(1, -(-n * replicates // DRAWS))
     slots = table.sparkSession.range(0, n, 1, parts).select(F.col("id").alias("slot")).select("slot", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     draws = slots.select("replicate", draw(seed, F.col("replicate"), F.col("slot"), F.lit(max(1, n))).alias("_i"))
-    return draws.join(table, "_i").drop("_i").withColumn("times", F.lit(1).cast("long"))
+    return draws.join(F.broadcast(table) if n <= SENT else table.hint("merge"), "_i").drop("_i").withColumn("times", F.lit(1).cast("long"))
 
 
 def bootstrap(clusters: DataFrame, replicates: int, seed: int = 7) -> DataFrame:
