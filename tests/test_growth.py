@@ -65,6 +65,14 @@ def test_clusters_are_sent_to_their_draws_or_both_are_shuffled_never_the_draws_s
     assert rows_of(evaluation.bootstrap_gap(pairs, 20, "p95")) == few
 
 
+def test_gates_send_no_draws_of_any_method_and_statistic(spark):
+    runs = spark.createDataFrame([(m, q, (q * 7 + k) % 11 / 11, float(q * 13 % 29 + k)) for k, m in enumerate("abc") for q in range(40)], "method string, query_id long, utility double, latency double")
+    told = evaluation.effectiveness(runs, "a", ["b", "c"], 20)
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 4 and "BuildLeft" not in plan
+    assert [(r["method"], r["paired"]) for r in told.orderBy("method").collect()] == [("b", 40), ("c", 40)]
+
+
 def test_scripts_count_letters_without_a_list_of_them(spark):
     texts = [None, "", "甲" * 19, "甲" * 20, "abc" * 7, "甲㐁豈" * 7 + "a" * 9, "甲a" * 20, "12 é甲" * 30, "𠀀" * 30 + "ab" * 10]
     rows = spark.createDataFrame([(t,) for t in texts], "text string")
