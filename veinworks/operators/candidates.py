@@ -49,9 +49,10 @@ def aligned(rows: DataFrame, cells: DataFrame) -> DataFrame:
 
     ``rows`` (candidate_id, text, head, tail, checked); ``cells`` (candidate_id, table_id, row_id, column_name, group_id, start, end,
     cell, has_box). All cells have to lie in one table and in one row or one group of merged rows, and each needs offsets at which the text
-    reads the same, or a box. Everything is a sum, least or greatest value, so cells of one candidate are aggregated before the shuffle.
+    reads the same, or a box. Everything is a sum, least or greatest value. Files of repeated words are far smaller than
+    their rows, so cells and candidates are shuffled, whatever Spark takes their sizes for.
     """
-    met = cells.join(rows.select("candidate_id", "text", "head", "tail", "checked"), "candidate_id")
+    met = cells.join(rows.select("candidate_id", "text", "head", "tail", "checked").hint("merge"), "candidate_id")
     given = lambda c: F.when(F.trim(F.col(c).cast("string")) != "", F.col(c))
     placed = _yes((F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= F.char_length("text")))
     same = _yes(F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("cell"))
@@ -111,7 +112,7 @@ def validated(rows: DataFrame, cells: DataFrame, constraints: DataFrame, rules:
     """
     turned = redirected(rows, rules)
     checked = typed(turned, constraints).withColumnRenamed("reasons", "type_reasons")
-    spans = span_levels(checked).join(aligned(turned, cells), "candidate_id", "left")
+    spans = span_levels(checked).join(aligned(turned, cells).hint("merge"), "candidate_id", "left")
     by_cells = F.col("method").isNotNull()
     held = F.when(by_cells, F.col("head_in_cell") & F.col("tail_in_cell"))
     held = held.when(F.col("level") == "E3", True).otherwise(_holds(F.col("evidence"), F.col("head")) & _holds(F.col("evidence"), F.col("tail")))

@@ -108,7 +108,8 @@ def _group_hits(rows: DataFrame, aliases: DataFrame) -> list[tuple[DataFrame, Da
 
 
 def _by_rule(hits: DataFrame, members: DataFrame) -> DataFrame:
-    return hits.join(members, "group").select("candidate_id", "fault_id", "rule_id", "start", "end", "matched", "scope")
+    # the automaton's rules go to the hits, as it did itself; Spark takes hits for as small as their texts and would gather them in the driver
+    return hits.join(F.broadcast(members), "group").select("candidate_id", "fault_id", "rule_id", "start", "end", "matched", "scope")
 
 
 def alias_hits(rows: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -132,8 +133,8 @@ def fault_hits(rows: DataFrame, aliases: DataFrame, patterns: list[Pattern], vet
     barred = None
     if vetoes:
         barred = texts.select("candidate_id", F.explode(F.array_compact(F.array(*(F.when(F.col("_whole").rlike(f"(?is){p}"), F.lit(f)) for f, p in vetoes)))).alias("fault_id")).distinct()
-    # vetoes come before the rules are joined, while a place is one row
-    allowed = lambda hits: hits if barred is None else hits.join(barred, ["candidate_id", "fault_id"], "left_anti")
+    # vetoes come before the rules are joined, while a place is one row; they grow with the candidates, so both are shuffled
+    allowed = lambda hits: hits if barred is None else hits.join(barred.hint("merge"), ["candidate_id", "fault_id"], "left_anti")
     every = ["candidate_id", "fault_id", *(["rule_id"] if by_rule else []), "start", "end", "matched", "scope"]
     parts = [_by_rule(allowed(found), members) if by_rule else allowed(found).select(*every) for found, members in _group_hits(rows, aliases)]
     if patterns:

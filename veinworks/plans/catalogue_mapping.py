@@ -55,7 +55,7 @@ hits AS (SELECT candidate_id, fault_id, rule_id, CAST(start AS integer) AS start
 def _base(spark, sf_dir):
     done = QUERIES["validated_candidates"](spark, sf_dir)
     rows = redirected(_candidates(spark, sf_dir), _RULES).select("candidate_id", "head_type", "tail_type", "evidence")
-    base = done.join(rows, "candidate_id").withColumn("head", F.expr(_HEAD))
+    base = done.join(rows.hint("merge"), "candidate_id").withColumn("head", F.expr(_HEAD))
     return checkpointed(base.withColumns({n: F.expr(e) for n, e in _PROPOSED.items()}))
 
 
