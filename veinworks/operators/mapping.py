@@ -207,7 +207,7 @@ def described(rows: DataFrame, hits: DataFrame, terms: DataFrame, eligible: tupl
     names = F.create_map(*(F.lit(x) for pair in relation_labels.items() for x in pair)) if relation_labels else F.create_map().cast("map<string,string>")
     classes = fault_classes(hits)
     listed = {c: F.coalesce(c, F.array().cast("array<string>")) for c in classes.columns[1:]}
-    told = both.join(classes, "candidate_id", "left").withColumns(listed | {"relation_label": F.try_element_at(names, F.col("relation"))})
+    told = both.join(classes.hint("merge"), "candidate_id", "left").withColumns(listed | {"relation_label": F.try_element_at(names, F.col("relation"))})
     why = F.array_distinct(F.concat("head_why", "tail_why", F.when(F.col("relation_label").isNull(), F.array(F.lit("relation_zh_label_missing"))).otherwise(F.array().cast("array<string>"))))
     ids = {f"{s}_entity_id": stable_id("ENT", F.col(f"{s}_type"), F.coalesce(F.col(f"{s}_term"), normalised(F.col(s)))) for s in ("head", "tail")}
     out = told.withColumn("label_reasons", why).withColumn("ready", F.col("head_ready") & F.col("tail_ready") & F.col("relation_label").isNotNull()).withColumns(ids)
